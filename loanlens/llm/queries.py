@@ -68,7 +68,7 @@ def op7_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = privacy.find(table(spark, sf_dir, "documents"))
     text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter("spans", lambda s: s["kind"] != "term")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in privacy.KINDS]
+    counts = [F.size(F.expr(f"filter(spans, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in privacy.KINDS]
     joined = lambda spans: F.array_join(F.transform(spans, text), ",")
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
