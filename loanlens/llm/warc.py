@@ -2,8 +2,8 @@
 
 A payload is a run of rows (record_id, chunk_no, data) of at most `chunk` bytes each; digests are carried from chunk to
 chunk, so Python never holds a record. Writing: each chunk becomes a WARC record (a first segment and `continuation`
-records after it, as WARC/1.0 segmentation has them), and Spark's own text sink writes them to any file system that
-Spark reaches, CR LF CR LF closing every record. Reading: Spark's text source cuts the files at record heads without
+records after it, as WARC/1.0 segmentation has them), and Spark's own text sink writes them, gzipped, to any file system
+that Spark reaches, CR LF CR LF closing every record. Reading: Spark's text source cuts the files at record heads without
 holding a file, and the segments of a record are digested in order as they stream by. The writer ends a segment
 inside every version mark that a payload holds itself, so a cut is always a record's edge; a segment whose length is not its
 Content-Length is refused.
@@ -119,15 +119,14 @@ def write(records: DataFrame, path: str, chunk: int = CHUNK, least: int = 1000,
         )).otherwise(F.lit("")),
         segment,
         F.when((F.col("n_chunks") > 1) & ~first, line("WARC-Segment-Origin-ID", own)).otherwise(F.lit("")),
-        F.when((F.col("n_chunks") > 1) & (number == F.col("n_chunks")), line("LoanLens-Segments", F.col("n_chunks").cast("string"))).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.octet_length("data").cast("string")),
     )
-    rows.select(F.concat(head, F.lit("\r\n"), F.col("data").cast("string")).alias("value")).write.option("lineSep", END).text(path)
+    rows.select(F.concat(head, F.lit("\r\n"), F.col("data").cast("string")).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """WARC files -> a row per WARC record: type, record_urn, refers_urn, uri, sha1, segment, segments (of the last one), data."""
+    """WARC files -> a row per WARC record: type, record_urn, refers_urn, uri, digest, segment, segmented, data."""
     cut = spark.read.option("lineSep", END + HEAD).text(path)
     record = F.when(F.startswith(F.col("value"), F.lit(HEAD)), F.substring("value", len(HEAD) + 1, F.lit(2**31 - 1))).otherwise(F.col("value"))
     split = F.locate(END, record)
@@ -141,7 +140,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(
         get("WARC-Type").alias("type"), F.coalesce(get("WARC-Segment-Origin-ID"), get("WARC-Record-ID")).alias("record_urn"), get("WARC-Refers-To").alias("refers_urn"),
         get("WARC-Target-URI").alias("uri"), get("WARC-Payload-Digest").alias("digest"), F.coalesce(get("WARC-Segment-Number").cast("int"), F.lit(1)).alias("segment"),
-        get("LoanLens-Segments").cast("int").alias("segments"), data.alias("data"),
+        get("WARC-Segment-Number").isNotNull().alias("segmented"), data.alias("data"),
     )
 
 
@@ -188,14 +187,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     record written. Bytes and digest of a response are those of its streamed payload; a revisit takes them from the
     response that it refers to."""
     segments = read_segments(spark, path)
-    payloads = staged(_streamed(segments.filter("type in ('response', 'continuation')")), "payloads")
+    # a record in one segment is as small as a chunk and digested where it is read; only the others are brought together
+    kept = segments.filter("type in ('response', 'continuation')")
+    single = kept.filter(~F.col("segmented")).select("record_urn", F.octet_length("data").cast("long").alias("n_bytes"), F.sha1("data").alias("sha1"), F.lit(1).alias("copies"))
+    payloads = staged(single.unionByName(_streamed(kept.filter("segmented"))), "payloads")
     name = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:record:(.*):[0-9a-f]*>$", 1), F.lit(""))
     responses = payloads.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(
         name("record_urn").alias("record_id"), F.col("n_bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"),
         F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to"),
     )
     revisits = segments.filter("type = 'revisit'").select(name("record_urn").alias("record_id"), "refers_urn")
-    whole = payloads.select(F.col("record_urn").alias("u"), "n_bytes", "sha1")
+    whole = payloads.select(F.col("record_urn").alias("u"), "n_bytes", "sha1").distinct()
     resolved = revisits.join(whole, F.col("refers_urn") == F.col("u")).select(
         "record_id", F.col("n_bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), F.lit("revisit").alias("record_type"), name("refers_urn").alias("refers_to")
     )
