@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,3 +40,83 @@ def clustered_ols(dev: DataFrame) -> DataFrame:
     sizes = dev.agg(F.count_distinct(F.struct(*ISSUE)).alias("g"), F.count(F.lit(1)).alias("rows"), F.count_distinct("manager").alias("k"))
     factor = F.col("g") / F.nullif(F.col("g") - 1, F.lit(0)) * (F.col("rows") - 1) / F.nullif(F.col("rows") - F.col("k"), F.lit(0))
     return sums.crossJoin(F.broadcast(sizes)).select("manager", "n", "coef", F.sqrt(factor * F.col("meat")) / F.col("n")).toDF("manager", "n", "coef", "se")  # sizes is one row
+
+
+def sign_counts(dev: DataFrame, dead: float = 0.01) -> DataFrame:
+    """Deviations above and below the dead zone, per manager."""
+    return dev.groupBy("manager").agg(F.count_if(F.col("dev") > dead).alias("above"), F.count_if(F.col("dev") < -dead).alias("below"))
+
+
+def upper_tail(n: int, least: int, p: float = 0.5) -> float:
+    """P(X >= least) of a binomial: summed up to 20,000 trials, beyond that normal with continuity correction."""
+    if least <= 0 or p >= 1:
+        return 1.0
+    if p <= 0 or least > n:
+        return 0.0
+    if n > 20_000:
+        return 0.5 * math.erfc((least - 0.5 - n * p) / math.sqrt(2 * n * p * (1 - p)))
+    term = math.lgamma(n + 1) - math.lgamma(least + 1) - math.lgamma(n - least + 1) + least * math.log(p) + (n - least) * math.log1p(-p)
+    terms = []
+    for k in range(least, n + 1):
+        terms.append(math.exp(term))
+        if k < n:
+            term += math.log((n - k) / (k + 1)) + math.log(p) - math.log1p(-p)
+    return min(1.0, math.fsum(terms))
+
+
+def median_ranks(n: int, level: float = 0.95) -> tuple[int, int]:
+    """Ranks (from 1) of the order statistics that bound the bootstrap distribution of a median of n values. A resample's
+    lower median is at most the k-th value with P(Binomial(n, k/n) >= (n+1)//2), so no draws are needed."""
+
+    def rank(middle: int, share: float) -> int:
+        low, high = 1, n
+        while low < high:
+            k = (low + high) // 2
+            low, high = (low, k) if upper_tail(n, middle, k / n) >= share else (k + 1, high)
+        return low
+
+    return rank((n + 1) // 2, (1 - level) / 2), rank(n // 2 + 1, (1 + level) / 2)
+
+
+def sign_test(dev: DataFrame, dead: float = 0.01) -> DataFrame:
+    """(manager, above, below, p): exact two-sided sign test; without a deviation p is 1."""
+
+    @F.pandas_udf("double")
+    def p_value(above: pd.Series, below: pd.Series) -> pd.Series:
+        return pd.Series([min(1.0, 2 * upper_tail(int(a + b), int(max(a, b)))) if a + b else 1.0 for a, b in zip(above, below, strict=True)], dtype="float64")
+
+    return sign_counts(dev, dead).withColumn("p", p_value("above", "below"))
+
+
+def median_interval(dev: DataFrame, least: int = 3) -> DataFrame:
+    """(manager, lo, hi): percentile-bootstrap interval of the median, from its exact distribution: deterministic, and no
+    manager's rows are gathered in one place except for their sort. Fewer than `least` rows: null."""
+
+    @F.pandas_udf("array<bigint>")
+    def bounds(n: pd.Series) -> pd.Series:
+        return pd.Series([list(median_ranks(int(v))) for v in n])
+
+    sizes = dev.groupBy("manager").agg(F.count("dev").alias("n")).withColumn("at", F.when(F.col("n") >= least, bounds("n")))
+    counts = dev.filter("dev is not null").groupBy("manager", "dev").agg(F.count(F.lit(1)).alias("c"))  # equal values meet before the sort
+    upto = F.sum("c").over(Window.partitionBy("manager").orderBy("dev"))
+    ranked = counts.withColumn("upto", upto).join(sizes, "manager")
+    found = ranked.groupBy("manager").agg(*[F.min(F.when(F.col("upto") >= F.get("at", F.lit(i)), F.col("dev"))).alias(c) for i, c in enumerate(("lo", "hi"))])
+    return sizes.select("manager", "n").join(found, "manager", "left")
+
+
+def significant(dev: DataFrame, least: int = 20, level: float = 0.05) -> DataFrame:
+    """Regression inference beside the median's interval. Managers with fewer than `least` rows keep their estimate only; p is
+    corrected by Benjamini-Hochberg over the others; robust needs both tests on the same side."""
+
+    @F.pandas_udf("double")
+    def two_sided(z: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2)) for v in z], dtype="float64")
+
+    fit = clustered_ols(dev).withColumn("thin", F.col("n") < least)
+    fit = fit.withColumn("se", F.when(~F.col("thin"), F.col("se"))).withColumn("p", two_sided(F.col("coef") / F.nullif("se", F.lit(0.0))))
+    down = Window.partitionBy("known").orderBy(F.desc("p"))  # a row per manager
+    ranked = fit.withColumn("known", F.col("p").isNotNull()).withColumn("m", F.count("p").over(Window.partitionBy("known"))).withColumn("rank", F.rank().over(Window.partitionBy("known").orderBy("p")) + F.count(F.lit(1)).over(Window.partitionBy("known", "p")) - 1)
+    fdr = F.when(F.col("known"), F.least(F.lit(1.0), F.min(F.col("p") * F.col("m") / F.col("rank")).over(down)))
+    out = ranked.withColumn("p_fdr", fdr).join(median_interval(dev).select("manager", "lo", "hi"), "manager", "left")
+    robust = (F.col("p_fdr") < level) & (F.signum("lo") == F.signum("hi")) & (F.signum("lo") == F.signum("coef"))
+    return out.select("manager", "n", "coef", "se", "p", "p_fdr", "lo", "hi", F.coalesce(robust, F.lit(False)).alias("robust"))

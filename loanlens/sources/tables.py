@@ -69,3 +69,26 @@ im AS (SELECT *, median(mark) OVER (PARTITION BY issuer, yr, sen, ibps) AS med F
 iss AS (SELECT issuer, yr, sen, ibps, count(*) AS holders, any_value(med) AS med, count(*) FILTER (abs(mark - med) <= 0.25) AS n_clean,
  min(mark) FILTER (abs(mark - med) <= 0.25) AS lo, max(mark) FILTER (abs(mark - med) <= 0.25) AS hi, stddev_samp(mark) FILTER (abs(mark - med) <= 0.25) AS sd,
  min(mark) AS raw_lo, max(mark) AS raw_hi FROM im GROUP BY ALL)"""
+
+
+def existing(spark: SparkSession, path: str) -> DataFrame:
+    """A table that an earlier stage wrote. Missing is an error, never a silent recomputation."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:
+        raise FileNotFoundError(f"no table at {path}: run the stage that writes it") from e
+
+
+def union_tabs(tabs: dict[str, DataFrame]) -> DataFrame:
+    """Tabs with different optional columns as one table, with the tab's name."""
+    out = None
+    for name, tab in tabs.items():
+        own = tab.withColumn("tab", F.lit(name))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str, partition_by: dict[str, list[str]] | None = None) -> None:
+    """One Parquet table per name: what a workbook's tabs hold."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").partitionBy(*(partition_by or {}).get(name, [])).parquet(f"{folder}/{name}")
