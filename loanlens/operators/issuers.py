@@ -62,50 +62,52 @@ def first_label(text: Column, ladder: list[tuple[str, str]]) -> Column:
     return out
 
 
+def _step(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns behind a generator of one row: the optimiser would otherwise copy each expression into all its uses, and
+    with a dozen steps on top of each other into the filters above them."""
+    return df.select("*", F.inline(F.array(F.struct(*columns.values()))).alias(*columns))
+
+
 def parse(df: DataFrame, raw: str = "issuer") -> DataFrame:
     """Adds issuer_name, instrument_text, parse_ok, issuer_norm, seniority and instrument_type. All in built-in functions.
 
     'Name, Suffix, Sector, Instrument', 'Name - Instrument' or a path of headings; a tail of attributes goes to
     instrument_text. Not a holding (null, junk, percentages, totals) or without a telling word: parse_ok is false.
     """
-    s = plain_dashes(F.col(raw))
+    s = F.col("__s")
+    out = _step(df, __s=plain_dashes(F.col(raw)))
     rejected = F.col(raw).isNull() | F.lower(s).isin(V.JUNK) | s.rlike(PERCENT_ONLY) | s.rlike(SUBTOTAL)
-    at = F.regexp_instr(F.col("__s"), F.lit(ATTRIBUTE))
-    out = df.withColumn("__s", F.when(~rejected, s)).withColumn("__at", at)
-    out = out.withColumn("__tail", F.when(F.col("__at") > 1, F.expr("substring(__s, __at)")))
-    out = out.withColumn("__s", F.when(F.col("__at") > 1, F.btrim(F.expr("substring(__s, 1, __at - 1)"), F.lit(" ,-:"))).otherwise(F.col("__s")))
+    out = _step(out, __a=F.when(~rejected, s), __at=F.regexp_instr(s, F.lit(ATTRIBUTE)))
+    cut = F.col("__at") > 1
+    head = F.when(cut, F.btrim(F.expr("substring(__a, 1, __at - 1)"), F.lit(" ,-:"))).otherwise(F.col("__a"))
     # headings, then a copy's number at the end
-    bare = F.regexp_replace(F.regexp_replace(F.col("__s"), HEADING, ""), r"^[ ,:-]+", "")
-    out = out.withColumn("__s", F.trim(F.regexp_replace(F.trim(bare), r"\s+\d{1,2}$", "")))
+    bare = F.regexp_replace(F.regexp_replace(head, HEADING, ""), r"^[ ,:-]+", "")
+    out = _step(out, __n=F.trim(F.regexp_replace(F.trim(bare), r"\s+\d{1,2}$", "")), __tail=F.when(cut, F.expr("substring(__a, __at)")))
 
     # commas: the parts after the first belong to the name as long as they are suffixes; one with a dash ends it
-    parts = F.filter(F.transform(F.split("__s", ","), lambda p: F.trim(p)), lambda p: p != "")
-    legal = [w.rstrip(".") for w in V.LEGAL]
+    legal = [*V.LEGAL, *(w.rstrip(".") for w in V.LEGAL)]
     word = lambda p: F.rtrim(F.lower(p), F.lit("."))
-    suffix = lambda p: word(p).isin(V.LEGAL + legal) | F.get(F.split(word(p), " "), F.lit(0)).isin(V.LEGAL + legal) | p.startswith("(") | word(p).rlike("d/b/a|f/k/a|fka|dba")
-    dashed = lambda p: suffix(p) & p.contains(" - ")
-    out = out.withColumn("__p", parts).withColumn("__rest", F.when(F.size("__p") > 1, F.slice("__p", 2, F.greatest(F.size("__p") - 1, F.lit(1)))).otherwise(F.array().cast("array<string>")))
-    stop = F.array_position(F.transform("__rest", lambda p: ~suffix(p)), F.lit(True))
-    dash = F.array_position(F.transform("__rest", dashed), F.lit(True))
-    many = (F.size("__rest") + 1).cast("long")
-    out = out.withColumn("__stop", F.when(stop > 0, stop).otherwise(many)).withColumn("__dash", F.when((dash > 0) & (dash < F.col("__stop")), dash))
+    suffix = lambda p: word(p).isin(legal) | F.get(F.split(word(p), " "), F.lit(0)).isin(legal) | p.startswith("(") | word(p).rlike("d/b/a|f/k/a|fka|dba")
+    out = _step(out, __p=F.filter(F.transform(F.split("__n", ","), lambda p: F.trim(p)), lambda p: p != ""))
+    out = _step(out, __rest=F.when(F.size("__p") > 1, F.slice("__p", F.lit(2), F.greatest(F.size("__p") - 1, F.lit(1)))).otherwise(F.array().cast("array<string>")))
+    out = _step(out, __own=F.transform("__rest", suffix), __split=F.transform("__rest", lambda p: p.contains(" - ")))
+    stop = F.array_position("__own", F.lit(False))
+    out = _step(out, __stop=F.when(stop > 0, stop).otherwise((F.size("__rest") + 1).cast("long")), __dashed=F.array_position("__split", F.lit(True)))
+    out = _step(out, __dash=F.when((F.col("__dashed") > 0) & (F.col("__dashed") < F.col("__stop")), F.col("__dashed")))
     last = F.coalesce("__dash", F.col("__stop") - 1).cast("int")  # parts of rest inside the name
     name_parts = F.concat(F.slice("__p", 1, 1), F.transform(F.slice("__rest", F.lit(1), last), lambda p: F.split(p, " - ", 2)[0]))
-    after = F.slice("__rest", F.col("__stop").cast("int"), F.lit(1000))
+    after = F.slice("__rest", F.col("__stop").cast("int"), F.greatest(F.size("__rest"), F.lit(0)))
     comma_text = F.when(F.col("__dash").isNotNull(), F.trim(F.split(F.get("__rest", (F.col("__dash") - 1).cast("int")), " - ", 2)[1])).otherwise(blank_to_null(F.array_join(after, ", ")))
 
-    has_comma, has_dash = F.col("__s").contains(","), F.col("__s").contains(" - ")
-    halves = F.split("__s", " - ", 2)
-    name = F.when(has_comma, F.when(F.size("__p") > 0, F.array_join(name_parts, ", "))).when(has_dash, F.trim(halves[0])).otherwise(F.col("__s"))
+    has_comma, has_dash, halves = F.col("__n").contains(","), F.col("__n").contains(" - "), F.split("__n", " - ", 2)
+    name = F.when(has_comma, F.when(F.size("__p") > 0, F.array_join(name_parts, ", "))).when(has_dash, F.trim(halves[0])).otherwise(F.col("__n"))
     text = F.when(has_comma, comma_text).when(has_dash, blank_to_null(F.trim(F.get(halves, F.lit(1)))))
-    out = out.withColumn("issuer_name", blank_to_null(name)).withColumn("instrument_text", blank_to_null(F.concat_ws(" ", text, "__tail")))
-    out = out.withColumn("issuer_norm", normalised(F.col("issuer_name")))
+    out = _step(out, issuer_name=blank_to_null(name), instrument_text=blank_to_null(F.concat_ws(" ", text, "__tail")))
+    out = _step(out, issuer_norm=normalised(F.col("issuer_name")))
     fine = F.col("issuer_name").isNotNull() & ~F.lower("issuer_name").isin(V.JUNK) & ~F.col("issuer_name").rlike(SUBTOTAL) & (F.length("issuer_name") > 1) & (core(F.col("issuer_norm")) != "")
     whole = F.concat_ws(" ", F.col(raw), "instrument_text")
-    return (
-        out.withColumn("parse_ok", F.coalesce(fine, F.lit(False))).withColumn("seniority", first_label(whole, V.SENIORITY)).withColumn("instrument_type", first_label(whole, V.INSTRUMENT))
-        .drop("__s", "__at", "__tail", "__p", "__rest", "__stop", "__dash")
-    )
+    out = _step(out, parse_ok=F.coalesce(fine, F.lit(False)), seniority=first_label(whole, V.SENIORITY), instrument_type=first_label(whole, V.INSTRUMENT))
+    return out.drop("__s", "__a", "__at", "__n", "__tail", "__p", "__rest", "__own", "__split", "__stop", "__dashed", "__dash")
 
 
 def lcs(a: str, b: str) -> int:
