@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that do not tell issuers apart.
-GENERIC = ["the", "inc", "llc", "lp", "corp", "co", "ltd", "company", "holdings", "group", "first", "lien", "software", "usa", "us"]
+from .vocabulary import GENERIC
 
 
 def key10(text: Column) -> Column:
