@@ -39,3 +39,35 @@ def printed_number(text: Column, scale: Column | int = 0) -> Column:
 
 def months_between_ends(start: Column, end: Column) -> Column:
     return F.bround(F.datediff(end, start) / 30.44).cast("int")
+
+
+def years_between(start: Column, end: Column) -> Column:
+    return F.datediff(end, start) / 365.25
+
+
+def period_start(end: Column, months: Column) -> Column:
+    """First day of a period of whole months that ends in the month of `end`; null without an end or a length."""
+    return F.when(months != 0, F.trunc(F.add_months(end, -(months - 1)), "MM"))
+
+
+def known_text(text: Column, missing: tuple[str, ...] = ("-", "nan", "None")) -> Column:
+    """Trimmed text; null and the marks of missing values are empty."""
+    plain = F.trim(F.coalesce(text, F.lit("")))
+    return F.when(plain.isin(*missing), "").otherwise(plain)
+
+
+def loose_key(name: Column) -> Column:
+    """Lower-case letters and digits only; null is empty."""
+    return F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]", "")
+
+
+def names_agree(a: Column, b: Column) -> Column:
+    """Whether one loose key contains the other; null if either has no letter or digit."""
+    x, y = loose_key(a), loose_key(b)
+    return F.when((x != "") & (y != ""), F.contains(x, y) | F.contains(y, x))
+
+
+def filing_url(cik: Column, accession: Column, base: str = "https://www.sec.gov/Archives/edgar/data") -> Column:
+    """Index page of a filing; empty without a key or an accession number."""
+    key, number = F.ltrim(F.coalesce(cik, F.lit("")), F.lit("0")), F.coalesce(accession, F.lit(""))
+    return F.when((key == "") | (number == ""), "").otherwise(F.concat(F.lit(f"{base}/"), key, F.lit("/"), F.replace(number, F.lit("-"), F.lit("")), F.lit("/"), number, F.lit("-index.htm")))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded as R
 from ..functions import text as X
 from ..operators import bias as B
 from ..operators import facts as T
@@ -15,7 +16,6 @@ from ..operators import universe as U
 from ..sources.tables import table
 from .studies import _C, _W, deviations, entities
 
-R = lambda c, n=6: F.round(c, n)
 
 
 def issuer_strings(spark, sf):

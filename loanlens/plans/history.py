@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded as R
 from ..operators import history as H
 from ..operators.marks import with_price
 from ..sources.tables import HOLDINGS_SQL, holdings
 
-R = lambda c, n=6: F.round(c, n)
 YEARS = (1996, 1997, 1998)
 
 

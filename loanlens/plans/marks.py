@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded as R
 from ..operators import marks as M
 from ..sources.tables import HOLDINGS_SQL, holdings
 
-R = lambda c, n=6: F.round(c, n)
 
 
 def matched(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded as R
 from ..operators import migration as M
 from ..operators.marks import with_price
 from ..sources.tables import HOLDINGS_SQL, holdings
 
-R = lambda c, n=6: F.round(c, n)
 EDGES = (0, 92, 94, 95, 96, 98, 100, 110, 1e9)
 LABELS = ("<92", "92-94", "94-95", "95-96", "96-98", "98-100", "100-110", ">110")
 W = M.Window2(1996, 2000, EDGES, LABELS, 95.0, 94.5)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded as R
 from ..functions import text as X
 from ..operators import bias as B
 from ..operators import rules as V
@@ -12,7 +13,6 @@ from ..operators import survival as S
 from ..operators.marks import ISSUE, fund_marks, with_issue, with_price
 from ..sources.tables import HOLDINGS_SQL, holdings, table
 
-R = lambda c, n=6: F.round(c, n)
 TODAY = "2001-06-30"
 
 
