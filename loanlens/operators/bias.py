@@ -120,3 +120,19 @@ def significant(dev: DataFrame, least: int = 20, level: float = 0.05) -> DataFra
     out = ranked.withColumn("p_fdr", fdr).join(median_interval(dev).select("manager", "lo", "hi"), "manager", "left")
     robust = (F.col("p_fdr") < level) & (F.signum("lo") == F.signum("hi")) & (F.signum("lo") == F.signum("coef"))
     return out.select("manager", "n", "coef", "se", "p", "p_fdr", "lo", "hi", F.coalesce(robust, F.lit(False)).alias("robust"))
+
+
+def by_date(dev: DataFrame, dates: list[int]) -> DataFrame:
+    """Median deviation, a row per manager and a column per date; a date without marks stays as an empty column."""
+    return dev.groupBy("manager").agg(*[F.median(F.when(F.col("yr") == d, F.col("dev"))).alias(str(d)) for d in dates])
+
+
+def issue_sample(dev: DataFrame, size: int = 40, least: int = 4) -> DataFrame:
+    """Up to `size` issues of at least `least` managers to check by eye, picked by a hash of the issue so that each run draws the
+    same ones: median in points and every manager's mark, lowest first. Only the picked issues gather their marks."""
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ISSUE])
+    large = dev.filter(F.col("k") >= least).withColumn("pick", F.md5(key.cast("binary")))
+    picked = large.select("pick").distinct().orderBy("pick").limit(size)
+    marks = F.transform(F.array_sort(F.collect_list(F.struct("mark", "manager"))), lambda s: F.concat_ws(":", s["manager"].cast("string"), F.bround(s["mark"] * 100).cast("bigint").cast("string")))
+    rows = large.join(F.broadcast(picked), "pick", "left_semi")  # at most `size` rows
+    return rows.groupBy(*ISSUE).agg((F.median("mark") * 100).alias("consensus"), F.array_join(marks, "  ").alias("marks"))

@@ -249,3 +249,12 @@ def derived(record: DataFrame) -> DataFrame:
         "distribution_coverage": ratio(c("net_investment_income"), c("distributions")), "liquidity_coverage": ratio(c("cash") + c("undrawn"), c("unfunded")),
         "return_of_capital_pct": ratio(c("return_of_capital"), F.abs(c("distributions"))),
     })
+
+
+def calculated(record: DataFrame, holdings: DataFrame, key: list[str], levels: tuple[str, ...] = ("level_1", "level_2", "level_3", "at_nav")) -> DataFrame:
+    """record with fair values by level, fv_total, yield, cost_of_debt and investments_fv, holdings with fair_value: adds each
+    level's share of the total, the spread of yield over cost of debt, and the holdings' sum over the record's investments."""
+    held = holdings.groupBy(*key).agg(F.sum("fair_value").alias("__held"))
+    shares = {f"{name}_pct": ratio(F.col(name), F.col("fv_total")) for name in levels}
+    more = {"net_spread": F.col("yield") - F.col("cost_of_debt"), "holdings_over_tagged": ratio(F.col("__held"), F.col("investments_fv"))}
+    return record.join(held, key, "left").withColumns(shares | more).drop("__held")

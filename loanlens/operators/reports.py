@@ -46,6 +46,25 @@ def census(found: DataFrame) -> DataFrame:
     return each.groupBy(F.regexp_replace("flag", r"\d+", "n").alias("flag")).agg(F.count_distinct("path").alias("documents"))
 
 
+def inventory(found: DataFrame, scope: DataFrame, chars_a_token: float = 4.0, shares: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.9, 0.99)) -> DataFrame:
+    """sections() and scope (path, in_scope) -> one row a corpus: documents, located ones, the gate (in scope, with a statement title),
+    coverage of the located, exact quantiles of their size in tokens, and how much smaller the text is than the document."""
+    has = lambda kind: F.coalesce(F.array_contains("kinds", kind), F.lit(False))
+    rows = found.join(scope.groupBy("path").agg(F.bool_or("in_scope").alias("__in")), "path", "left").select(
+        F.coalesce(F.size("spans") > 0, F.lit(False)).alias("hit"), (F.coalesce("__in", F.lit(False)) & F.coalesce(F.size("titles") > 0, F.lit(False))).alias("gate"),
+        has("assets_liabilities").alias("sheet"), has("cash_flows").alias("cash"), has("financial_highlights").alias("highlights"),
+        F.length("text").alias("chars"), "raw_chars", F.col("error").isNotNull().alias("failed"),
+    )
+    tokens = F.when(F.col("hit"), F.ceil(F.col("chars") / chars_a_token))
+    located = lambda c: F.count_if(F.col("hit") & F.col(c))
+    kept = F.sum(F.when(F.col("hit"), F.col("chars"))) / F.nullif(F.sum(F.when(F.col("hit"), F.col("raw_chars"))), F.lit(0))
+    return rows.agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if("failed").alias("failed"), F.count_if("hit").alias("located"), F.count_if("gate").alias("in_gate"), F.count_if(F.col("gate") & F.col("hit")).alias("gate_hits"),
+        located("sheet").alias("balance_sheets"), located("cash").alias("cash_flows"), located("highlights").alias("highlights"),
+        F.percentile(tokens, F.array(*map(F.lit, shares))).alias("tokens"), F.avg(tokens).alias("mean_tokens"), (1 - kept).alias("smaller"),
+    )
+
+
 CONTEXT = r"(?is)<xbrli:context\b[^>]*\bid\s*=\s*[\"']([^\"']+)[\"'][^>]*>(.*?)</xbrli:context\s*>"
 FACT = r"(?is)<ix:(?:nonFraction|nonNumeric)\b[^>]*>.*?</ix:(?:nonFraction|nonNumeric)\s*>"
 
@@ -129,3 +148,11 @@ def agreement(read: Column, tagged: Column, trusted: Column) -> Column:
     both = F.greatest(F.abs(read), F.abs(tagged))
     close = F.when((read == 0) & (tagged == 0), True).otherwise(F.abs(read - tagged) / F.nullif(both, F.lit(0.0)) <= 0.01)
     return F.when(tagged.isNotNull() & ~close, 0.40).when(~F.coalesce(trusted, F.lit(False)), 0.60).when(close, 0.97).otherwise(0.80)
+
+
+def cost(located: DataFrame, per_million_in: float, per_million_out: float, overhead: int, expected_out: int) -> DataFrame:
+    """located (period, tokens, located) -> one row: distinct located periods, their mean request with its overhead, what all would cost."""
+    one = located.filter("located").groupBy("period").agg(F.max("tokens").alias("tokens"))
+    each = F.coalesce(F.avg("tokens"), F.lit(0.0)) + overhead
+    spent = F.count(F.lit(1)) * (each / 1e6 * per_million_in + expected_out / 1e6 * per_million_out)
+    return one.agg(F.count(F.lit(1)).alias("periods"), each.alias("tokens_in"), spent.alias("cost"))

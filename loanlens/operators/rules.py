@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import looks_rounded
+
 
 def tolerance(x: Column, relative: float = 1e-3, floor: float = 1000.0) -> Column:
     return F.greatest(F.abs(x) * relative, F.lit(floor))
@@ -24,9 +26,12 @@ def balance(assets: Column, liabilities: Column, net: Column) -> Column:
 
 
 def nav_per_share(net: Column, shares: Column, reported: Column) -> Column:
-    """C2: reported NAV against net assets / shares, with the error that rounding to thousands propagates."""
+    """C2: reported NAV against net assets / shares. The band propagates the rounding of each input (half a thousand where it looks
+    stored in thousands, else half a unit) and that of the NAV itself; at least a cent."""
     computed = net / F.nullif(shares, F.lit(0.0))
-    band = 500.0 / F.nullif(shares, F.lit(0.0)) + computed * 0.5 / F.nullif(shares, F.lit(0.0)) + 0.005
+    half = lambda x: F.when(looks_rounded(x), 500.0).otherwise(0.5)
+    size = F.nullif(F.abs(shares), F.lit(0.0))
+    band = F.greatest(F.lit(0.01), half(net) / size + F.abs(computed) * half(shares) / size + 0.005)
     return check("C2", F.abs(computed - reported) <= band, [computed, reported])
 
 
@@ -86,3 +91,15 @@ def review_queue(validated_records: DataFrame) -> DataFrame:
     """Adds flags, 'rule: message; ...' of the failed checks, and keeps the records under review."""
     failed = F.transform(F.filter("checks", lambda c: c["status"] == "fail"), lambda c: F.concat_ws(": ", c["rule"], c["message"]))
     return validated_records.filter("status = 'review'").withColumn("flags", F.array_join(failed, "; "))
+
+
+def revalidated(records: DataFrame, checks: list[Column], metadata: DataFrame | None = None, key: str = "cik") -> DataFrame:
+    """Stored records with their checks recomputed from the values they hold, and the columns of metadata (one row a key) taken
+    over where it knows the key; nothing is extracted again."""
+    plain = records.drop("checks", "status")
+    if metadata is not None:
+        fresh = [c for c in metadata.columns if c != key]
+        known = metadata.select(key, F.struct(*fresh).alias("__new"))
+        joined = plain.join(known, key, "left")
+        plain = joined.select(*[F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in fresh else F.col(c) for c in plain.columns])
+    return validated(plain, checks)

@@ -41,3 +41,18 @@ def kaplan_meier(c: DataFrame) -> DataFrame:
 def hazard(c: DataFrame) -> DataFrame:
     known = c.filter("born is not null")
     return known.agg(F.count_if(F.col("status") == "dead").alias("deaths"), F.sum(F.greatest("years", F.lit(0.0))).alias("entity_years")).withColumn("hazard", F.col("deaths") / F.nullif("entity_years", F.lit(0.0)))
+
+
+def lifespan(c: DataFrame) -> DataFrame:
+    """One row: observed lifespans of those both born and ended on record. Survivors are left out, so it only describes."""
+    return c.filter("status = 'dead' and born is not null and years is not null").agg(
+        F.count(F.lit(1)).alias("n"), F.median("years").alias("median"), F.avg("years").alias("mean"), F.min("years").alias("shortest"), F.max("years").alias("longest")
+    )
+
+
+def family_table(c: DataFrame) -> DataFrame:
+    """c (family, status, mechanism) -> launched, alive, dead, mergers and the surviving share, largest families first."""
+    out = c.groupBy("family").agg(
+        F.count(F.lit(1)).alias("launched"), F.count_if(F.col("status") == "active").alias("alive"), F.count_if(F.col("status") == "dead").alias("dead"), F.count_if(F.col("mechanism") == "merger").alias("mergers")
+    ).withColumn("survival", F.round(F.col("alive") / F.col("launched"), 3))
+    return out.orderBy(F.desc("launched"), "survival", "family")

@@ -127,3 +127,16 @@ def latest_filing(filings: DataFrame, form: str) -> DataFrame:
     """The latest filing of each entity, of the form where there is one."""
     w = Window.partitionBy("cik").orderBy((F.col("form") == form).desc(), F.desc("filing_date"), "form")
     return filings.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+
+
+def with_manager(funds: DataFrame, managers: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
+    """Adds the manager of each fund's key, 'UNMAPPED' without one. The map is broadcast only up to a counted size."""
+    one = managers.groupBy("cik").agg(F.min("manager").alias("manager"))
+    small = one.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return funds.join(F.broadcast(one) if small else one, "cik", "left").withColumn("manager", F.coalesce("manager", F.lit("UNMAPPED")))
+
+
+def manager_audit(funds: DataFrame) -> DataFrame:
+    """funds (cik, manager), one or more rows a fund -> funds per manager, whether it has several and whether it stands for the unmapped."""
+    counts = funds.select("cik", "manager").distinct().groupBy("manager").agg(F.count(F.lit(1)).alias("funds"))
+    return counts.withColumn("several", F.col("funds") >= 2).withColumn("unmapped", F.col("manager") == "UNMAPPED").orderBy(F.desc("funds"), "manager")

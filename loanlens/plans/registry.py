@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extraction, history, marks, migration, overlap, studies
+from . import audits, extraction, history, marks, migration, overlap, studies
 
-_MODULES = (marks, history, migration, overlap, studies, extraction)
+_MODULES = (marks, history, migration, overlap, studies, extraction, audits)
 
 
 def queries() -> dict:
