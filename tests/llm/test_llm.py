@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loanlens.llm import chroma, decontaminate, language, licenses, packing, privacy, sharding, simhash, toxicity, warc
+from loanlens.llm import chroma, copies, decontaminate, language, licenses, packing, privacy, sharding, simhash, toxicity, warc
 from loanlens.llm.components import components
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -120,6 +120,34 @@ def test_simhash_against_brute_force(spark):
         assert got == {i: (want[i], label[i]) for i in range(len(texts))}
 
 
+def test_near_copies_against_brute_force(spark):
+    rng = random.Random(11)
+    base = [" ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(rng.randint(30, 200))) for _ in range(12)]
+    texts = [*ODD, *base, *(b.upper() for b in base[:3])]
+    for b in base * 6:
+        ws = b.split()
+        for k in rng.sample(range(len(ws)), max(1, len(ws) // rng.choice([25, 35, 60, 100]))):
+            ws[k] = "edited"
+        texts.append("one very common line of words " * rng.randint(0, 1) + " ".join(ws))
+    label, sets = list(range(len(texts))), [copies.shingles(t) for t in texts]
+    for _ in texts:
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                label[i] = label[j] = min(label[i], label[j])
+    got = {r.doc_id: r.component_id for r in copies.near_copies(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(label))
+
+
+def test_pipeline_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    base = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(248)]
+    edited = [w if i not in (40, 120, 200) else "edited" for i, w in enumerate(base)]
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, [" ".join(base), " ".join(edited), "another text"]), "").collect()
+    assert {r.doc_id for r in kept} == {0, 2}
+
+
 def test_covering_masks():
     masks, rng = simhash.covering_masks(4), random.Random(2)
     for _ in range(3000):
