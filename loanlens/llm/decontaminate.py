@@ -156,11 +156,77 @@ def proximity_matches(tests: TestSet, index: Index, terms: int = 3, slop: int =
     )
 
 
+def near_matches(docs: DataFrame, tests: TestSet, index: Index) -> DataFrame:
+    """Verified looser matches: every (win_id, doc_id, start) where at least four fifths of the window's words stand in their
+    places. Cut into one block more than words may be missing, a window has a whole block in any such place: the first
+    three words of its blocks (two of a window of five words) are looked up, and each start they give is verified."""
+    may_miss = F.floor(F.col("length") / 5).cast("int")
+    terms = tests.terms.select("win_id", "length", "offset", "term_id", may_miss.alias("may_miss")).filter("may_miss > 0")
+    words = terms.join(tests.vocabulary, "term_id").groupBy("win_id", "length", "may_miss").agg(F.array_sort(F.collect_list(F.struct("offset", "term"))).alias("words"))
+    blocks = words.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("may_miss")))).withColumn("at", F.expr("cast(floor(block * length / (may_miss + 1)) as int)"))
+    two, three = (F.xxhash64(*(F.expr(f"words[at + {k}].term") for k in range(n))) for n in (2, 3))
+    keys = staged(blocks.select("win_id", "at", F.when(F.col("length") == 5, two).otherwise(three).alias("key"), (F.col("length") == 5).alias("short")), "near-keys")
+    w = docs.select("doc_id", words_of(F.col("text")).alias("w")).select(
+        "doc_id", F.posexplode(F.arrays_zip(F.col("w").alias("a"), F.expr("slice(w, 2, size(w))").alias("b"), F.expr("slice(w, 3, size(w))").alias("c"))).alias("pos", "z")
+    )
+    agreed = None
+    for n, short in ((3, False), (2, True)):
+        own = keys.filter(F.col("short") == short).drop("short")
+        if short and own.isEmpty():
+            continue
+        at = w.select("doc_id", "pos", F.xxhash64(*(F.col(f"z.{c}") for c in "abc"[:n])).alias("k"))
+        met = at.join(broadcast_if(own, tests.n_windows, BROADCAST_ROWS // 10), F.col("k") == F.col("key"))
+        met = met.select("win_id", "doc_id", (F.col("pos") - F.col("at")).alias("start"))
+        agreed = met if agreed is None else agreed.unionByName(met)
+    agreed = staged(agreed.distinct(), "near-agreed")
+    found = agreed.select("doc_id").distinct()
+    n_found = found.count()
+    here = index.postings.alias("p").join(
+        broadcast_if(found, n_found, BROADCAST_ROWS).alias("f"), F.col("p.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi"
+    ).select(F.col("term_id").alias("t"), F.col("doc_id").alias("d"), F.col("pos").alias("q"))
+    wanted = agreed.join(broadcast_if(terms, tests.n_windows, BROADCAST_ROWS // 10), "win_id")
+    same = (F.col("term_id") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("start") + F.col("offset") == F.col("q"))
+    return (
+        wanted.join(here, same, "left_semi").groupBy("win_id", "doc_id", "start", "length", "may_miss").agg(F.count(F.lit(1)).alias("n"))
+        .filter("n >= length - may_miss").select("win_id", "doc_id", "start")
+    )
+
+
+def _items(found: DataFrame, tests: TestSet, out: str) -> DataFrame:
+    """(__doc_out, out): the sorted item ids, as strings, of the windows found in each document."""
+    named = found.select("win_id", "doc_id").distinct().join(broadcast_if(tests.members, tests.n_windows, BROADCAST_ROWS), "win_id")
+    return named.groupBy(F.col("doc_id").alias(f"__doc_{out}")).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias(out))
+
+
+def decontaminate_loosely(docs: DataFrame, items: DataFrame, window: int = 10, terms: int = 3, slop: int = 20) -> DataFrame:
+    """The columns of decontaminate and: proximity_items (items with a proximity match), near_items (items with an exact or a
+    near match, see near_matches) and near (whether there is any). n_hit and contaminated stay exact."""
+    tests = build_tests(items, window)
+    index = build_index(docs, tests)
+    exact = staged(phrase_matches(tests, index), "matches")
+    out = _decontaminated(docs, tests, exact)
+    near = near_matches(docs, tests, index).select("win_id", "doc_id").unionByName(exact.select("win_id", "doc_id"))
+    for matches, name in ((proximity_matches(tests, index, terms, slop), "proximity_items"), (near, "near_items")):
+        found = staged(_items(matches, tests, name), name)
+        out = out.join(found, F.col("doc_id").eqNullSafe(F.col(f"__doc_{name}")), "left").drop(f"__doc_{name}")
+        out = out.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out.withColumn("near", F.size("near_items") > 0)
+
+
+def near_documents(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """(doc_id) of the documents with an exact or a near match of any item, once each."""
+    tests = build_tests(items, window)
+    index = build_index(docs, tests)
+    return phrase_matches(tests, index).select("doc_id").unionByName(near_matches(docs, tests, index).select("doc_id")).distinct()
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """A row per row of docs: doc_id, n_words, n_hit, items (sorted array of item ids as strings), contaminated."""
     tests = build_tests(items, window)
-    index = build_index(docs, tests)
-    matches = staged(phrase_matches(tests, index), "matches")
+    return _decontaminated(docs, tests, staged(phrase_matches(tests, build_index(docs, tests)), "matches"))
+
+
+def _decontaminated(docs: DataFrame, tests: TestSet, matches: DataFrame) -> DataFrame:
     spans = matches.groupBy("doc_id", "start").agg(F.max(F.col("start") + F.col("length")).alias("stop"))
     before = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max("stop").over(before), F.lit(0))

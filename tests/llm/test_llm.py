@@ -60,6 +60,43 @@ def test_proximity(spark):
     assert {r.doc_id for r in found.collect()} == {0}
 
 
+def test_near_matches_against_brute_force(spark):
+    rng = random.Random(4)
+    vocabulary = ["the", "of", "red", "blue", "Fox", "ant", "cow", "sky"]
+    items = [" ".join(rng.choices(vocabulary, k=k)) for k in (2, 4, 5, 9, 10, 26)] + ["", None, "unseen words only once here"]
+    texts = ODD + [" ".join(rng.choices(vocabulary, k=rng.randint(0, 60))) for _ in range(30)]
+    for t in items[3:6] * 6:
+        ws = t.split()
+        for k in rng.sample(range(len(ws)), max(1, len(ws) // 10) + rng.randint(0, 2)):
+            ws[k] = "changed"
+        texts.append("before " + " ".join(ws) + " after")
+    ids = [*range(len(texts) - 1), None]
+    rows = decontaminate.decontaminate_loosely(frame(spark, texts, ids), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    want = {}
+    for i, t in zip(ids, texts):
+        ws, want[i] = WORD.findall(lower(t)), set()
+        for j, item in enumerate(items):
+            xs = WORD.findall(lower(item))
+            for x in (xs[k : k + 10] for k in range(max(1, len(xs) - 9) if xs else 0)):
+                if any(sum(a == b for a, b in zip(x, ws[k:])) * 5 >= 4 * len(x) for k in range(-2, len(ws)) if k >= 0) or any(
+                    sum(a == b for a, b in zip(x[k:], ws)) * 5 >= 4 * len(x) for k in (1, 2)
+                ):
+                    want[i].add(str(j))
+    assert len(rows) == len(texts) and {r.doc_id: set(r.near_items) for r in rows} == want
+    assert all(r.near == bool(r.near_items) and set(r["items"]) <= set(r.near_items) for r in rows)
+    assert any(r.near and not r.contaminated for r in rows) and any(r.proximity_items for r in rows)
+
+
+def test_pipeline_drops_changed_passages(spark, tmp_path):
+    import corpus_pipeline
+
+    item = "every one of these twenty words differs from all others in this item so that any window can be told apart".split()
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    changed = [w if i not in (4, 14) else "changed" for i, w in enumerate(item)]
+    kept = corpus_pipeline.benchmark_decontamination(spark, frame(spark, ["x " + " ".join(changed), "from all others in this", " ".join(item)]), str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {1}
+
+
 def test_empty_tables(spark):
     none, items = frame(spark, []), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(none, items).count() == 0
