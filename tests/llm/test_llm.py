@@ -137,6 +137,37 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 for r in toxicity.score(frame(spark, ODD), model).collect())
 
 
+def test_toxicity_lower_order_is_a_distribution(spark):
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abcde", [9, 5, 3, 2, 1], k=rng.randint(2, 6))) for _ in range(20)) for _ in range(30)]
+    df = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "text string, toxic int")
+    counts = toxicity.count(df)
+    grams = {r.gram for r in counts.collect()}
+    seen = [grams]
+    for k in (4, 3, 2, 1):
+        seen.append({g[1:] for g in seen[-1]})
+    levels = {k: {} for k in (4, 3, 2, 1)}
+    for longer, k in zip(seen, (4, 3, 2, 1)):
+        for g in longer:
+            levels[k][g[1:]] = levels[k].get(g[1:], 0) + 1
+    d = lambda n: (0, 0.9, 1.4)[n] if n < 3 else 1.8
+
+    def p(s):
+        if not s:
+            return 1 / len(levels[1])
+        same = [c for t, c in levels[len(s)].items() if t[:-1] == s[:-1]]
+        if not same:
+            return p(s[1:])
+        return (max(levels[len(s)].get(s, 0) - d(levels[len(s)].get(s, 0)), 0) + sum(map(d, same)) * p(s[1:])) / sum(same)
+
+    got = {r.suffix: r.lower for r in toxicity.lower_order(counts).collect()}
+    assert set(got) == set(levels[4]) and all(abs(got[s] - p(s)) < 1e-12 for s in got)
+    h = max(got, key=levels[4].get)[:-1]
+    assert abs(sum(p(h + x) for x in levels[1]) - 1) < 1e-9
+    tables = toxicity.ratios(counts)
+    assert len(tables.grams) == len(grams) and len(tables.contexts) == len({g[:4] for g in grams})
+
+
 def test_simhash_against_brute_force(spark):
     rng = random.Random(5)
     base = [" ".join(rng.choices("abcdefghij", k=60)) for _ in range(30)]
