@@ -57,7 +57,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
-    """Counts from three fifths of the labelled rows, the curve from one; the fifth with remainder 0 is never learned from."""
+    """The curve from one fifth of the labelled rows under counts of three, then counts from all four; the fifth with remainder 0 is never learned from."""
     rest = doc_crc(F.col("doc_id"), 5)
     # one physical join at every size: texts and labels meet in a shuffle, never by a broadcast of labels
     joined = docs.select("doc_id", "text").filter(rest != 0).join(labels.select("doc_id", "toxic").filter(rest != 0).hint("merge"), "doc_id")

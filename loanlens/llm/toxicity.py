@@ -235,7 +235,8 @@ def featured(docs: DataFrame, model: Ratios, keep: list[str]) -> DataFrame:
 
 
 def train(counted: DataFrame, held: DataFrame) -> Model:
-    """counted, held: (text, toxic). The counts come from all rows of the first, the logistic curve from the second."""
+    """counted, held: (text, toxic). The logistic curve comes from the second under counts of the first; then the counts of
+    the second are added, so that the tables cover all rows of both."""
     counts = staged(count(counted), "kn-counts")
     tables = ratios(counts)
     rows = held.filter("toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
@@ -245,6 +246,8 @@ def train(counted: DataFrame, held: DataFrame) -> Model:
         own = fit.filter(F.col("toxic") == c).orderBy(F.xxhash64("f1", "f2", "f3")).limit(FIT_ROWS).select("f1", "f2", "f3").toPandas().to_numpy()
         x.append(own)
         y.append(np.full(len(own), float(c)))
+    both = counts.unionByName(count(held)).groupBy("gram").agg(F.sum("toxic_n").alias("toxic_n"), F.sum("plain_n").alias("plain_n"))
+    tables = ratios(staged(both, "kn-counts"))
     if not len(x[0]) or not len(x[1]):
         return Model(tables, ())
     return Model(tables, tuple(_logistic(np.concatenate(x), np.concatenate(y)).tolist()))

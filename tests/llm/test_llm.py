@@ -168,6 +168,14 @@ def test_toxicity_lower_order_is_a_distribution(spark):
     assert len(tables.grams) == len(grams) and len(tables.contexts) == len({g[:4] for g in grams})
 
 
+def test_toxicity_counts_the_rows_of_the_curve(spark):
+    rows = [("plain words here", 0), ("nasty words here", 1)] * 4
+    counted = spark.createDataFrame(rows, "text string, toxic int")
+    held = spark.createDataFrame([*rows, ("zzyxgrump", 1)], "text string, toxic int")
+    keys = set(toxicity.train(counted, held).ratios.grams.tolist())
+    assert {g for p in toxicity._points("zzyxgrump") for g in toxicity._hashes(p, toxicity.ORDER).tolist()} <= keys
+
+
 def test_simhash_against_brute_force(spark):
     rng = random.Random(5)
     base = [" ".join(rng.choices("abcdefghij", k=60)) for _ in range(30)]
