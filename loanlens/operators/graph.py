@@ -1,44 +1,42 @@
-"""Written intermediate tables, and connected components of an edge table."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loanlens-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/loanlens/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges (a, b), ids of any ordered type -> (node, component): each node takes the least label among itself and its
-    neighbours, then that label's own label, until nothing changes. Label jumps halve the distance to the root, and each
-    round is a written table, so lineage stays short and a lost executor costs one round."""
-    both = written(edges.filter("a <> b").select("a", "b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
-    for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        hop = label.join(near, "node").withColumn("least", F.least("component", "near"))
-        root = label.select(F.col("node").alias("least"), F.col("component").alias("root"))
-        # a label is a node's id, so its own label may be smaller still
-        now = written(hop.join(root, "least").select("node", F.least("least", "root").alias("component"), (F.least("least", "root") != F.col("component")).alias("moved")), "labels")
-        if now.filter("moved").isEmpty():
-            return now.select("node", "component")
-        label = now.select("node", "component")
-    raise RuntimeError("components did not settle")
+from ..sources.staging import discard, staged
+
+
+def _star(edges: DataFrame, small: bool) -> DataFrame:
+    """One round. Minima are joined back instead of collecting neighbours, so a hub is never one row."""
+    flipped = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = edges.unionByName(flipped)
+    toward = both.filter("b < a") if small else both
+    least = toward.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+    kept = toward if small else both.filter("b > a")
+    linked = kept.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("x"), "m")
+    if small:
+        linked = linked.unionByName(least.select(F.col("u").alias("x"), "m"))
+    out = linked.filter("x != m").select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b"))
+    return out.distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges (a, b) of any ordered type, in any direction, repeats and loops allowed -> (node, component), for nodes with
+    an edge to another; component is the smallest node. Null ends are not nodes.
+
+    Alternating large-star and small-star rounds (Kiveris et al. 2014) until no edge changes. Each round is written to the
+    shared folder and the one before is deleted; only a count and a hash sum of the edges reach the driver."""
+    ends = edges.filter("a is not null and b is not null and a != b")
+    now, last = staged(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"), None
+    while True:
+        after = staged(_star(_star(now, small=False), small=True), "edges")
+        discard(now)
+        now = after
+        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if mark == last or not mark[0]:
+            break
+        last = mark
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from .graph import components, written
+from ..sources.staging import staged
+from .graph import components
 
 DASHES = "[�\u0096\u0097–—]"
 SUBTOTAL = r"(?i)\b(total|subtotal)\b"
@@ -158,7 +159,7 @@ def core_pairs(cores: DataFrame, threshold: float = 92.0, largest: int = 1500) -
 def clusters(names: DataFrame, threshold: float = 92.0, largest: int = 1500) -> DataFrame:
     """names (norm, rows), norm distinct -> (norm, issuer_cluster). Equal cores are one cluster, then similar cores; names
     without a core stay alone. A cluster's name has the fewest words, then the most rows, then comes first."""
-    keyed = written(names.select("norm", "rows", core(F.col("norm")).alias("core")), "cores")
+    keyed = staged(names.select("norm", "rows", core(F.col("norm")).alias("core")), "cores")
     known = keyed.filter("core <> ''")
     linked = components(core_pairs(known.select("core").distinct(), threshold, largest).select("a", "b"))
     grouped = known.join(linked.withColumnRenamed("node", "core"), "core", "left").withColumn("group", F.coalesce("component", "core"))
