@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import discard, fresh, new_path, scratch, shared_dir, staged
+
+__all__ = ["discard", "fresh", "new_path", "scratch", "shared_dir", "staged"]
+
 #: Words of the phrase operators: runs of ASCII digits, ASCII lower-case letters and all characters above ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -18,29 +20,16 @@ WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loanlens-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/loanlens/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint for a side whose counted rows stay within the limit; beyond it Spark shuffles (and splits skew)."""
     return F.broadcast(df) if rows <= limit else df
 
 
+def text_hash(text: Column) -> Column:
+    """With the doc_id it tells rows apart: rows that share both hold the same text and get the same results."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -56,25 +45,46 @@ def doc_crc(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string")) % modulus
 
 
-def gapless(df: DataFrame, group: str, tie_break: Sequence[str], hash_col: str, out: str, bits: int = 12) -> DataFrame:
-    """Adds `out`: 0, 1, 2, ... inside each group in the order of hash_col, then tie_break.
+#: So many rows of one hash are numbered in one task; more of them are split.
+HEAVY = 10_000
+
+
+def serial() -> Column:
+    """A number for each row, fixed once the table is staged; gapless splits equal rows by it."""
+    return F.monotonically_increasing_id().alias("__serial")
+
+
+def gapless(df: DataFrame, group: str, groups: int, tie_break: Sequence[str], hash_col: str, out: str, bits: int = 12) -> DataFrame:
+    """Adds `out`: 0, 1, 2, ... inside each group by ranges of hash_col, inside a range by hash_col and tie_break. df is a
+    staged table with __serial; `groups` bounds the number of groups.
 
-    No task sees a whole group: rows are ranked inside 2**bits ranges of the hash, and the counts of the
-    ranges (at most 2**bits a group) give each range its offset. df is read twice, so pass a staged table.
-    """
+    No task sees a whole group: rows are ranked inside 2**bits ranges of the hash, and the counts of the ranges give each
+    range its offset. Rows of one hash in large number follow the others of their range, dealt by __serial to tasks of
+    HEAVY rows or so: they are copies of each other, so which one gets which number does not matter."""
     part = F.shiftrightunsigned(F.col(hash_col), 64 - bits).cast("int")
-    ranged = df.withColumn("__range", part)
-    counts = ranged.groupBy(group, "__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col(group).alias("__g"), F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")
+    many = staged(df.groupBy(group, hash_col).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > HEAVY), "heavy")
+    n_many = many.count()  # one for HEAVY rows at most
+    same = F.col(group).eqNullSafe(F.col("__group")) & (F.col(hash_col) == F.col("__hash"))
+    many = many.withColumnsRenamed({group: "__group", hash_col: "__hash"})
+    ranged = df.join(broadcast_if(many, n_many, 1_000_000), same, "left")
+    salt = F.when(F.col("__n").isNotNull(), F.pmod(F.xxhash64("__serial"), F.ceil(F.col("__n") / HEAVY))).otherwise(F.lit(-1))
+    ranged = ranged.withColumn("__range", part).withColumn("__salt", salt.cast("long")).drop("__group", "__n")
+    cell = ["__range", "__hash", "__salt"]
+    counts = ranged.groupBy(group, *cell).agg(F.count(F.lit(1)).alias("__count"))
+    before = Window.partitionBy(group).orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = staged(
+        counts.select(
+            F.col(group).alias("__g"), F.col("__range").alias("__r"), F.col("__hash").alias("__h"), F.col("__salt").alias("__s"),
+            F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__offset"),
+        ), "offsets",
     )
-    rank = F.row_number().over(Window.partitionBy(group, "__range").orderBy(hash_col, *tie_break))
+    rank = F.row_number().over(Window.partitionBy(group, *cell).orderBy(hash_col, *tie_break))
+    at = F.col(group).eqNullSafe(F.col("__g")) & (F.col("__range") == F.col("__r")) & F.col("__hash").eqNullSafe(F.col("__h")) & (F.col("__salt") == F.col("__s"))
     return (
         ranged.withColumn("__rank", rank)
-        .join(offsets, (F.col(group).eqNullSafe(F.col("__g"))) & (F.col("__range") == F.col("__r")))
+        .join(broadcast_if(offsets, (groups << bits) + n_many, 1_000_000), at)
         .withColumn(out, (F.col("__offset") + F.col("__rank") - 1).cast("long"))
-        .drop("__range", "__g", "__r", "__offset", "__rank")
+        .drop(*cell, "__g", "__r", "__h", "__s", "__offset", "__rank", "__serial")
     )
 
 

@@ -1,38 +1,40 @@
 """Benchmark decontamination over a distributed positional inverted index (DataFrame functions only).
 
-build_index stores a posting (term_id, doc_id, pos) for every document word that any test item uses. A test
-window is looked up from its rarest term: the offset-adjusted posting list of that term is intersected with
-the second rarest, and the survivors with all the remaining terms, so common terms are only met in documents
-that two rare ones already agree on.
-
-Defined results: a null text has no words; an item without words has no window; rows that repeat a doc_id
-are indexed together and each gets the hits of that doc_id; a null doc_id is one id of its own; benchmark rows
-that repeat an item_id are one item with the windows of all of them. Only doc_id, text and item_id, text are
-read, so any further columns may have any name.
+build_index stores a posting (term_id, row, pos) for every document word that any test item uses. A test window is looked
+up from its rarest term: the offset-adjusted posting list of that term is intersected with the second rarest, and the
+survivors with all the remaining terms, so common terms are only met in documents that two rare ones already agree on.
+
+A row is told by its doc_id and a hash of its text, so rows that share a doc_id, or have none, keep positions of their own.
+Defined results: a null or empty text has no words; an item without words has no window; rows with equal doc_id and text get
+equal results each; benchmark rows that repeat an item_id are one item with the windows of all of them, and one without
+item_id is found but not listed. Terms of equal rarity are taken by term id and offset, which changes no result. Texts of
+any length are indexed whole. Only doc_id, text and item_id, text are read, so any further columns may have any name.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_ANY_CASE, broadcast_if, staged, words_of
+from .common import WORD_ANY_CASE, broadcast_if, scratch, staged, text_hash, words_of
 
 #: Sides of more counted rows are shuffled instead of broadcast.
 BROADCAST_ROWS = 1_000_000
+ROW = ["doc_id", "text_hash"]
 
 
 @dataclass
 class TestSet:
-    """vocabulary(term, term_id), windows(win_id, length), win_terms(win_id, offset, term_id), members(win_id, item_id)."""
+    """vocabulary(term, term_id), terms(win_id, length, offset, term_id), members(win_id, item_id)."""
 
     vocabulary: DataFrame
     terms: DataFrame
     members: DataFrame
     n_vocabulary: int
     n_windows: int
+    n_members: int
 
 
 @dataclass
@@ -41,83 +43,98 @@ class Index:
     frequencies: DataFrame
 
 
+def same_row(left: str = "", right: str = "__") -> Column:
+    return F.col(f"{left}doc_id").eqNullSafe(F.col(f"{right}doc_id")) & (F.col(f"{left}text_hash") == F.col(f"{right}text_hash"))
+
+
+def other_row(df: DataFrame, prefix: str = "__") -> DataFrame:
+    """df with its row columns renamed for a join by same_row."""
+    return df.withColumnsRenamed({c: prefix + c for c in ROW})
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), words_of(F.col("text")).alias("words"))
+
+
 def build_tests(items: DataFrame, window: int = 10) -> TestSet:
     """Cuts each item into its windows of `window` words (one shorter window for a shorter item)."""
     if not 1 <= window <= 60:
         raise ValueError("window must be 1 to 60 words")
     words = items.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
     last = F.greatest(F.size("words") - window, F.lit(0))
-    cut = words.select("item_id", "words", F.explode(F.sequence(F.lit(0), last)).alias("k")).select(
-        "item_id", F.slice("words", F.col("k") + 1, F.lit(window)).alias("win")
-    )
-    grouped = staged(
-        cut.groupBy("win").agg(F.collect_set(F.struct("item_id")).alias("items")).withColumn("win_id", F.monotonically_increasing_id()),
-        "windows",
-    )
+    at = words.select("item_id", "words", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    cut = staged(at.select("item_id", F.slice("words", F.col("k") + 1, F.lit(window)).alias("win")).distinct(), "cut")
+    windows = staged(cut.select("win").distinct().withColumn("win_id", F.monotonically_increasing_id()), "windows")
+    n_windows = windows.count()
+    members = staged(cut.join(broadcast_if(windows, n_windows, BROADCAST_ROWS // 10), "win").select("win_id", "item_id"), "members")
     vocabulary = staged(
-        grouped.select(F.explode("win").alias("term")).distinct().withColumn("term_id", F.monotonically_increasing_id()), "vocabulary"
+        windows.select(F.explode("win").alias("term")).distinct().withColumn("term_id", F.monotonically_increasing_id()), "vocabulary"
     )
     n_vocabulary = vocabulary.count()
-    terms = grouped.select("win_id", F.size("win").alias("length"), F.posexplode("win").alias("offset", "term")).join(
+    terms = windows.select("win_id", F.size("win").alias("length"), F.posexplode("win").alias("offset", "term")).join(
         broadcast_if(vocabulary, n_vocabulary, BROADCAST_ROWS), "term"
     )
-    members = grouped.select("win_id", F.explode("items").alias("item")).select("win_id", "item.item_id")
-    return TestSet(vocabulary, staged(terms.drop("term"), "window-terms"), members, n_vocabulary, grouped.count())
+    return TestSet(vocabulary, staged(terms.drop("term"), "window-terms"), members, n_vocabulary, n_windows, members.count())
 
 
 def build_index(docs: DataFrame, tests: TestSet) -> Index:
     """Postings of all test terms over the whole corpus, with each term's number of postings."""
-    tokens = docs.select("doc_id", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
+    tokens = rows_of(docs).select(*ROW, F.posexplode("words").alias("pos", "term"))
     postings = staged(
-        tokens.join(broadcast_if(tests.vocabulary, tests.n_vocabulary, BROADCAST_ROWS), "term").select("term_id", "doc_id", "pos"), "postings"
+        tokens.join(broadcast_if(tests.vocabulary, tests.n_vocabulary, BROADCAST_ROWS), "term").select("term_id", *ROW, "pos"), "postings"
     )
-    return Index(postings, postings.groupBy("term_id").agg(F.count(F.lit(1)).alias("df")))
+    frequencies = staged(postings.groupBy("term_id").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    return Index(postings, frequencies)
+
+
+def with_rarity(tests: TestSet, index: Index) -> DataFrame:
+    """tests.terms with df; at most a row per term is broadcast, so no term's windows meet in one task."""
+    return tests.terms.join(broadcast_if(index.frequencies, tests.n_vocabulary, BROADCAST_ROWS), "term_id", "left")
 
 
 def ranked_terms(tests: TestSet, index: Index) -> DataFrame:
     """The terms of each window that can occur, rarest first (rarity 1, 2, ...)."""
-    known = tests.terms.join(index.frequencies, "term_id", "left")
     whole = Window.partitionBy("win_id")
     return (
-        known.withColumn("missing", F.max(F.col("df").isNull()).over(whole))
+        with_rarity(tests, index)
+        .withColumn("missing", F.max(F.col("df").isNull()).over(whole))
         .filter(~F.col("missing"))
         .withColumn("rarity", F.row_number().over(whole.orderBy("df", "term_id", "offset")))
         .select("win_id", "length", "offset", "term_id", "rarity")
     )
 
 
-def phrase_matches(tests: TestSet, index: Index) -> DataFrame:
-    """Every place where a whole window occurs: (win_id, doc_id, start, length)."""
-    ranked = staged(ranked_terms(tests, index), "ranked")
+def _postings_of(index: Index, found: DataFrame) -> DataFrame:
+    """The postings of the rows found, as (t, __doc_id, __text_hash, q)."""
+    found = staged(found.select(*ROW).distinct(), "found")
+    here = index.postings.join(broadcast_if(other_row(found), found.count(), BROADCAST_ROWS), same_row(), "left_semi")
+    return other_row(here.select(F.col("term_id").alias("t"), *ROW, F.col("pos").alias("q")))
 
-    def side(condition) -> DataFrame:
-        return broadcast_if(ranked.filter(condition), tests.n_windows, BROADCAST_ROWS)
 
+def _in_place() -> Column:
+    """Whether the posting (t, __row, q) stands where the window that starts at `start` has its term."""
+    return (F.col("term_id") == F.col("t")) & same_row() & (F.col("start") + F.col("offset") == F.col("q"))
+
+
+def phrase_matches(tests: TestSet, index: Index) -> DataFrame:
+    """Every place where a whole window occurs: (win_id, length, doc_id, text_hash, start)."""
+    ranked = staged(ranked_terms(tests, index), "ranked")
     postings = index.postings
-    first = (
-        postings.join(side(F.col("rarity") == 1), "term_id")
-        .withColumn("start", F.col("pos") - F.col("offset"))
-        .filter("start >= 0")
-        .select("win_id", "length", "doc_id", "start")
-    )
+    rarest = broadcast_if(ranked.filter("rarity = 1"), tests.n_windows, BROADCAST_ROWS)
+    first = postings.join(rarest, "term_id").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0")
+    first = first.select("win_id", "length", *ROW, "start")
     single = first.filter("length = 1")
-    # second rarest: offset-adjusted lists meet on (term, document, position)
+    # second rarest: offset-adjusted lists meet on (term, row, position)
     second = ranked.filter("rarity = 2").select("win_id", "offset", "term_id")
     wanted = first.filter("length > 1").join(broadcast_if(second, tests.n_windows, BROADCAST_ROWS), "win_id")
     seconds = second.select("term_id").distinct()
     lists = postings.join(broadcast_if(seconds, tests.n_vocabulary, BROADCAST_ROWS), "term_id", "left_semi")
-    shifted = lists.select(F.col("term_id").alias("t"), F.col("doc_id").alias("d"), F.col("pos").alias("q"))
-    same = (F.col("term_id") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("start") + F.col("offset") == F.col("q"))
-    both = staged(wanted.join(shifted, same, "left_semi").select("win_id", "length", "doc_id", "start"), "two-rarest")
-    found = both.select("doc_id").distinct()
-    n_found = found.count()
-    here = postings.alias("p").join(
-        broadcast_if(found, n_found, BROADCAST_ROWS).alias("f"), F.col("p.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi"
-    ).select(F.col("term_id").alias("t"), F.col("doc_id").alias("d"), F.col("pos").alias("q"))
-    rest = both.filter("length > 2").join(broadcast_if(ranked.filter("rarity > 2").drop("length"), tests.n_windows, BROADCAST_ROWS // 10), "win_id")
+    shifted = other_row(lists.select(F.col("term_id").alias("t"), *ROW, F.col("pos").alias("q")))
+    both = staged(wanted.join(shifted, _in_place(), "left_semi").select("win_id", "length", *ROW, "start"), "two-rarest")
+    others = broadcast_if(ranked.filter("rarity > 2").drop("length"), tests.n_windows, BROADCAST_ROWS // 10)
     agreed = (
-        rest.join(here, same)
-        .groupBy("win_id", "length", "doc_id", "start")
+        both.filter("length > 2").join(others, "win_id").join(_postings_of(index, both), _in_place())
+        .groupBy("win_id", "length", *ROW, "start")
         .agg(F.bit_count(F.expr("bit_or(shiftleft(1L, offset))")).alias("n"))
         .filter("n = length - 2")
         .drop("n")
@@ -126,124 +143,122 @@ def phrase_matches(tests: TestSet, index: Index) -> DataFrame:
 
 
 def proximity_matches(tests: TestSet, index: Index, terms: int = 3, slop: int = 20) -> DataFrame:
-    """Looser matches: (win_id, doc_id, pos) where the window's `terms` rarest distinct terms all lie within
+    """Looser matches: (win_id, doc_id, text_hash, pos) where the window's `terms` rarest distinct terms all lie within
     `slop` words of the posting at pos of the rarest one. Position blocks of `slop` words make it an equi-join."""
     distinct = Window.partitionBy("win_id").orderBy("df", "term_id")
-    ranked = (
-        tests.terms.select("win_id", "term_id").distinct().join(index.frequencies, "term_id")
-        .withColumn("rarity", F.row_number().over(distinct)).filter(F.col("rarity") <= terms)
-    )
+    once = with_rarity(tests, index).filter("df is not null").select("win_id", "term_id", "df").distinct()
+    ranked = staged(once.withColumn("rarity", F.row_number().over(distinct)).filter(F.col("rarity") <= terms), "nearest")
     need = ranked.groupBy("win_id").agg((F.count(F.lit(1)) - 1).alias("need"))
-    anchors = (
-        index.postings.join(ranked.filter("rarity = 1").select("win_id", "term_id"), "term_id")
-        .join(need, "win_id").select("win_id", "doc_id", F.col("pos").alias("at"), "need")
+    first = ranked.filter("rarity = 1").select("win_id", "term_id").join(need, "win_id")
+    anchors = index.postings.join(broadcast_if(first, tests.n_windows, BROADCAST_ROWS), "term_id").select(
+        "win_id", *ROW, F.col("pos").alias("at"), "need"
     )
-    alone = anchors.filter("need = 0").select("win_id", "doc_id", F.col("at").alias("pos"))
+    alone = anchors.filter("need = 0").select("win_id", *ROW, F.col("at").alias("pos"))
     block = F.floor(F.col("at") / slop)
-    wanted = (
-        anchors.filter("need > 0").join(ranked.filter("rarity > 1").select("win_id", "term_id"), "win_id")
-        .withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
-    )
-    lists = index.postings.select("term_id", F.col("doc_id").alias("d"), "pos", F.floor(F.col("pos") / slop).alias("b"))
-    near = wanted.join(
-        lists.withColumnRenamed("term_id", "t"),
-        (F.col("term_id") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("block") == F.col("b")) & (F.abs(F.col("pos") - F.col("at")) <= slop),
-        "left_semi",
-    )
+    rest = broadcast_if(ranked.filter("rarity > 1").select("win_id", "term_id"), tests.n_windows, BROADCAST_ROWS // 10)
+    wanted = anchors.filter("need > 0").join(rest, "win_id").withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
+    lists = other_row(index.postings.select(F.col("term_id").alias("t"), *ROW, "pos", F.floor(F.col("pos") / slop).alias("b")))
+    close = (F.col("term_id") == F.col("t")) & same_row() & (F.col("block") == F.col("b")) & (F.abs(F.col("pos") - F.col("at")) <= slop)
+    near = wanted.join(lists, close, "left_semi")
     return (
-        near.groupBy("win_id", "doc_id", "at", "need").agg(F.count_distinct("term_id").alias("n")).filter("n = need")
-        .select("win_id", "doc_id", F.col("at").alias("pos")).unionByName(alone)
+        near.groupBy("win_id", *ROW, "at", "need").agg(F.count_distinct("term_id").alias("n")).filter("n = need")
+        .select("win_id", *ROW, F.col("at").alias("pos")).unionByName(alone)
     )
 
 
 def near_matches(docs: DataFrame, tests: TestSet, index: Index) -> DataFrame:
-    """Verified looser matches: every (win_id, doc_id, start) where at least four fifths of the window's words stand in their
-    places. Cut into one block more than words may be missing, a window has a whole block in any such place: the first
-    three words of its blocks (two of a window of five words) are looked up, and each start they give is verified."""
+    """Verified looser matches: every (win_id, doc_id, text_hash, start) where at least four fifths of the window's words
+    stand in their places. Cut into one block more than words may be missing, a window has a whole block in any such place:
+    the first three words of its blocks (two of a window of five words) are looked up, and each start they give is
+    verified."""
     may_miss = F.floor(F.col("length") / 5).cast("int")
     terms = tests.terms.select("win_id", "length", "offset", "term_id", may_miss.alias("may_miss")).filter("may_miss > 0")
-    words = terms.join(tests.vocabulary, "term_id").groupBy("win_id", "length", "may_miss").agg(F.array_sort(F.collect_list(F.struct("offset", "term"))).alias("words"))
-    blocks = words.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("may_miss")))).withColumn("at", F.expr("cast(floor(block * length / (may_miss + 1)) as int)"))
+    in_order = F.array_sort(F.collect_list(F.struct("offset", "term")))  # a window has 60 words at most
+    words = terms.join(tests.vocabulary, "term_id").groupBy("win_id", "length", "may_miss").agg(in_order.alias("words"))
+    at = F.expr("cast(floor(block * length / (may_miss + 1)) as int)")
+    blocks = words.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("may_miss")))).withColumn("at", at)
     two, three = (F.xxhash64(*(F.expr(f"words[at + {k}].term") for k in range(n))) for n in (2, 3))
-    keys = staged(blocks.select("win_id", "at", F.when(F.col("length") == 5, two).otherwise(three).alias("key"), (F.col("length") == 5).alias("short")), "near-keys")
-    w = docs.select("doc_id", words_of(F.col("text")).alias("w")).select(
-        "doc_id", F.posexplode(F.arrays_zip(F.col("w").alias("a"), F.expr("slice(w, 2, size(w))").alias("b"), F.expr("slice(w, 3, size(w))").alias("c"))).alias("pos", "z")
+    short = F.col("length") == 5
+    keys = staged(blocks.select("win_id", "at", F.when(short, two).otherwise(three).alias("key"), short.alias("short")), "near-keys")
+    three_words = F.arrays_zip(
+        F.col("words").alias("a"), F.expr("slice(words, 2, size(words))").alias("b"), F.expr("slice(words, 3, size(words))").alias("c")
     )
+    places = rows_of(docs).select(*ROW, F.posexplode(three_words).alias("pos", "z"))
     agreed = None
-    for n, short in ((3, False), (2, True)):
-        own = keys.filter(F.col("short") == short).drop("short")
-        if short and own.isEmpty():
+    for n, is_short in ((3, False), (2, True)):
+        own = keys.filter(F.col("short") == is_short).drop("short")
+        if is_short and own.isEmpty():
             continue
-        at = w.select("doc_id", "pos", F.xxhash64(*(F.col(f"z.{c}") for c in "abc"[:n])).alias("k"))
-        met = at.join(broadcast_if(own, tests.n_windows, BROADCAST_ROWS // 10), F.col("k") == F.col("key"))
-        met = met.select("win_id", "doc_id", (F.col("pos") - F.col("at")).alias("start"))
+        hashed = places.select(*ROW, "pos", F.xxhash64(*(F.col(f"z.{c}") for c in "abc"[:n])).alias("k"))
+        met = hashed.join(broadcast_if(own, tests.n_windows, BROADCAST_ROWS // 10), F.col("k") == F.col("key"))
+        met = met.select("win_id", *ROW, (F.col("pos") - F.col("at")).alias("start"))
         agreed = met if agreed is None else agreed.unionByName(met)
     agreed = staged(agreed.distinct(), "near-agreed")
-    found = agreed.select("doc_id").distinct()
-    n_found = found.count()
-    here = index.postings.alias("p").join(
-        broadcast_if(found, n_found, BROADCAST_ROWS).alias("f"), F.col("p.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi"
-    ).select(F.col("term_id").alias("t"), F.col("doc_id").alias("d"), F.col("pos").alias("q"))
     wanted = agreed.join(broadcast_if(terms, tests.n_windows, BROADCAST_ROWS // 10), "win_id")
-    same = (F.col("term_id") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("start") + F.col("offset") == F.col("q"))
     return (
-        wanted.join(here, same, "left_semi").groupBy("win_id", "doc_id", "start", "length", "may_miss").agg(F.count(F.lit(1)).alias("n"))
-        .filter("n >= length - may_miss").select("win_id", "doc_id", "start")
+        wanted.join(_postings_of(index, agreed), _in_place(), "left_semi")
+        .groupBy("win_id", *ROW, "start", "length", "may_miss").agg(F.count(F.lit(1)).alias("n"))
+        .filter("n >= length - may_miss").select("win_id", *ROW, "start")
     )
 
 
 def _items(found: DataFrame, tests: TestSet, out: str) -> DataFrame:
-    """(__doc_out, out): the sorted item ids, as strings, of the windows found in each document."""
-    named = found.select("win_id", "doc_id").distinct().join(broadcast_if(tests.members, tests.n_windows, BROADCAST_ROWS), "win_id")
-    return named.groupBy(F.col("doc_id").alias(f"__doc_{out}")).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias(out))
+    """(doc_id, text_hash, out): the sorted item ids, as strings, of the windows found in each row."""
+    named = found.select("win_id", *ROW).distinct().join(broadcast_if(tests.members, tests.n_members, BROADCAST_ROWS), "win_id")
+    return named.groupBy(*ROW).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias(out))
+
+
+def _hits(matches: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n_hit): the words inside any match."""
+    spans = matches.groupBy(*ROW, "start").agg(F.max(F.col("start") + F.col("length")).alias("stop"))
+    before = Window.partitionBy(*ROW).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max("stop").over(before), F.lit(0))
+    new = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", reached))
+    return spans.withColumn("new", new).groupBy(*ROW).agg(F.sum("new").cast("long").alias("n_hit"))
+
+
+def _with_found(docs: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """doc_id, n_words, n_hit and the item lists, a row per row of docs."""
+    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_ANY_CASE)).cast("long")
+    out = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), n_words.alias("n_words"))
+    for table in found:
+        out = out.join(other_row(table), same_row(), "left").drop("__doc_id", "__text_hash")
+    for name in out.columns:
+        if name == "n_hit":
+            out = out.withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+        elif name.endswith("items"):
+            out = out.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out.withColumn("contaminated", F.col("n_hit") > 0).drop("text_hash")
 
 
 def decontaminate_loosely(docs: DataFrame, items: DataFrame, window: int = 10, terms: int = 3, slop: int = 20) -> DataFrame:
     """The columns of decontaminate and: proximity_items (items with a proximity match), near_items (items with an exact or a
     near match, see near_matches) and near (whether there is any). n_hit and contaminated stay exact."""
-    tests = build_tests(items, window)
-    index = build_index(docs, tests)
-    exact = staged(phrase_matches(tests, index), "matches")
-    out = _decontaminated(docs, tests, exact)
-    near = near_matches(docs, tests, index).select("win_id", "doc_id").unionByName(exact.select("win_id", "doc_id"))
-    for matches, name in ((proximity_matches(tests, index, terms, slop), "proximity_items"), (near, "near_items")):
-        found = staged(_items(matches, tests, name), name)
-        out = out.join(found, F.col("doc_id").eqNullSafe(F.col(f"__doc_{name}")), "left").drop(f"__doc_{name}")
-        out = out.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
-    return out.withColumn("near", F.size("near_items") > 0)
+    with scratch() as kept:
+        tests = build_tests(items, window)
+        index = build_index(docs, tests)
+        exact = staged(phrase_matches(tests, index), "matches")
+        near = near_matches(docs, tests, index).select("win_id", *ROW).unionByName(exact.select("win_id", *ROW))
+        lists = ((exact, "items"), (proximity_matches(tests, index, terms, slop), "proximity_items"), (near, "near_items"))
+        kept += [staged(_hits(exact), "hits"), *(staged(_items(matches, tests, name), name) for matches, name in lists)]
+    return _with_found(docs, kept).withColumn("near", F.size("near_items") > 0)
 
 
 def near_documents(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """(doc_id) of the documents with an exact or a near match of any item, once each."""
-    tests = build_tests(items, window)
-    index = build_index(docs, tests)
-    return phrase_matches(tests, index).select("doc_id").unionByName(near_matches(docs, tests, index).select("doc_id")).distinct()
+    """(doc_id, text_hash) of the rows with an exact or a near match of any item, once each."""
+    with scratch() as kept:
+        tests = build_tests(items, window)
+        index = build_index(docs, tests)
+        found = phrase_matches(tests, index).select(*ROW).unionByName(near_matches(docs, tests, index).select(*ROW))
+        kept.append(staged(found.distinct(), "contaminated"))
+    return kept[0]
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """A row per row of docs: doc_id, n_words, n_hit, items (sorted array of item ids as strings), contaminated."""
-    tests = build_tests(items, window)
-    return _decontaminated(docs, tests, staged(phrase_matches(tests, build_index(docs, tests)), "matches"))
-
-
-def _decontaminated(docs: DataFrame, tests: TestSet, matches: DataFrame) -> DataFrame:
-    spans = matches.groupBy("doc_id", "start").agg(F.max(F.col("start") + F.col("length")).alias("stop"))
-    before = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.coalesce(F.max("stop").over(before), F.lit(0))
-    hit = (
-        spans.withColumn("new", F.greatest(F.lit(0), F.col("stop") - F.greatest("start", reached)))
-        .groupBy("doc_id").agg(F.sum("new").alias("n_hit"))
-    )
-    named = (
-        matches.select("win_id", "doc_id").distinct()
-        .join(broadcast_if(tests.members, tests.n_windows, BROADCAST_ROWS), "win_id")
-        .groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    )
-    found = hit.join(named, hit["doc_id"].eqNullSafe(named["doc_id"])).select(hit["doc_id"].alias("__doc"), "n_hit", "items")
-    counted = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
-    return counted.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").select(
-        "doc_id", "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
-    )
+    with scratch() as kept:
+        tests = build_tests(items, window)
+        matches = staged(phrase_matches(tests, build_index(docs, tests)), "matches")
+        found = _hits(matches).join(other_row(_items(matches, tests, "items")), same_row(), "left").drop("__doc_id", "__text_hash")
+        kept.append(staged(found, "hits"))
+    return _with_found(docs, kept)
