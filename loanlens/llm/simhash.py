@@ -5,13 +5,13 @@ v of as many bits a mask keeps the positions where <phi(i), v> = 1. The phi of a
 positions cannot span all radius + 1 dimensions, so some v is orthogonal to all of them: its mask drops every
 differing bit and the pair has equal keys in that table. No pair within the radius is missed.
 
-Equal fingerprints are one node, so copies are never expanded. In a bucket the nodes are compared in blocks
-and only a spanning forest of the links is emitted; buckets over `block` nodes are first cut into blocks, and
-each pair of blocks is a task of its own.
+Equal fingerprints are one node, so copies are never expanded. In a bucket only a spanning forest of the links is
+emitted; buckets over `block` nodes are first cut into blocks, and each pair of blocks is a task of its own.
 
-Defined results: a null or empty text has fingerprint zero and links like any other; rows that repeat a doc_id keep
-a row each; a null doc_id gets its fingerprint and component, the smallest non-null doc_id reachable or null.
-Only doc_id and text are read.
+Defined results: a null or empty text has fingerprint zero and links like any other; a bit set in exactly half of the
+hashes (a tie) is 0; a text of any length is hashed whole, in bounded memory; rows that repeat a doc_id keep a row each, by
+their own texts; a null doc_id gets its fingerprint and component, the smallest non-null doc_id reachable or null; an empty
+table gives no rows. Only doc_id and text are read, so any further columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,12 +25,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
-from .components import components
+from ..operators.graph import components
+from .common import scratch, staged
 
 BITS = 64
 
 
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes (uint64) have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def packed(counts: np.ndarray, n: int) -> int:
+    """The fingerprint of n hashes: a bit is 1 if set in over half of them."""
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42, step: int = 1 << 15) -> int:
     """64-bit SimHash of the shingles of `shingle` words, repeats included; memory is bounded by `step` hashes."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -44,9 +54,9 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42, step: int =
     starts, ends = starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
     digest, counts = xxhash.xxh64_intdigest, np.zeros(BITS, dtype=np.int64)
     for at in range(0, n, step):
-        hashes = np.array([digest(joined[s:e], seed) for s, e in zip(starts[at : at + step], ends[at : at + step], strict=True)], dtype=np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+        spans = zip(starts[at : at + step], ends[at : at + step], strict=True)
+        counts += majority(np.array([digest(joined[s:e], seed) for s, e in spans], dtype=np.uint64))
+    return packed(counts, n)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -70,30 +80,38 @@ def covering_masks(radius: int = 4, seed: int = 7) -> list[int]:
     return [sum(1 << i for i in range(BITS) if bin(int(phi[i]) & v).count("1") % 2) for v in range(1, 1 << dims)]
 
 
-def _forest(x: np.ndarray, y: np.ndarray | None, radius: int, step: int = 1024) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs within the radius, among x or between x and y (signed longs)."""
-    nodes = x if y is None else np.concatenate([x, y])
-    parent = np.arange(nodes.size)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    u, out = nodes.view(np.uint64), []
-    off = 0 if y is None else x.size
-    for a in range(0, x.size, step):
-        left = u[a : a + step]
-        for b in range(a if y is None else off, nodes.size, step):
-            near = np.bitwise_count(left[:, None] ^ u[None, b : b + step]) <= radius
-            for i, j in zip(*(k.tolist() for k in np.nonzero(near)), strict=True):
-                i, j = i + a, j + b
-                if i < j:
-                    p, q = root(i), root(j)
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        out.append((int(nodes[i]), int(nodes[j])))
+def _forest(x: np.ndarray, y: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs within the radius, among x or between x and y (signed longs).
+
+    Breadth first: a node is compared once, with the nodes that no tree has reached yet, and those it reaches are not
+    compared with again as targets. So a dense bucket shrinks at once, and one without links costs a pass a node."""
+    two = y is not None
+    nodes = np.concatenate([x, y]) if two else x
+    u = nodes.view(np.uint64)
+    if nodes.size == 2:
+        return [(int(nodes[0]), int(nodes[1]))] if (not two or x.size == 1) and int(u[0] ^ u[1]).bit_count() <= radius else []
+    side = np.r_[np.zeros(x.size, bool), np.ones(nodes.size - x.size, bool)]
+    # nodes that no tree has reached; between two sides a node meets the other side's only
+    rest = [np.arange(x.size), np.arange(x.size, nodes.size)] if two else [np.arange(x.size)]
+    out: list[tuple[int, int]] = []
+    for root in range(x.size):
+        own = rest[0]
+        if not own.size or (two and not rest[1].size):
+            break
+        at = int(np.searchsorted(own, root))
+        if at == own.size or own[at] != root:
+            continue
+        rest[0] = np.delete(own, at)
+        queue = [root]
+        while queue:
+            node = queue.pop()
+            k = 0 if not two or side[node] else 1
+            near = np.bitwise_count(u[rest[k]] ^ u[node]) <= radius
+            if near.any():
+                found = rest[k][near]
+                rest[k] = rest[k][~near]
+                out += [(int(nodes[node]), int(v)) for v in nodes[found]]
+                queue += found.tolist()
     return out
 
 
@@ -166,11 +184,14 @@ def links(distinct: DataFrame, radius: int = 4, block: int = 20_000) -> DataFram
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, block: int = 20_000) -> DataFrame:
     """(doc_id, fp, component_id) a row per row of docs."""
-    prints = staged(fingerprints(docs, shingle), "fingerprints")
-    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    groups = components(links(nodes.select("fp"), radius, block))
-    grouped = nodes.join(groups, F.col("fp") == F.col("node")).select("fp", "component", "least")
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = grouped.join(least, "component").select(F.col("fp").alias("f"), "component_id")
-    rest = nodes.join(labels, F.col("fp") == F.col("f"), "left").select(F.col("fp").alias("f"), F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(staged(rest, "labels"), F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    with scratch() as kept:
+        prints = staged(fingerprints(docs, shingle), "fingerprints")
+        nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+        groups = components(links(nodes.select("fp"), radius, block))
+        grouped = nodes.join(groups, F.col("fp") == F.col("node")).select("fp", "component", "least")
+        least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+        labels = grouped.join(least, "component").select(F.col("fp").alias("f"), "component_id")
+        own = nodes.join(labels, F.col("fp") == F.col("f"), "left")
+        rest = staged(own.select(F.col("fp").alias("f"), F.coalesce("component_id", "least").alias("component_id")), "labels")
+        kept += [prints, rest]
+    return prints.join(rest, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
