@@ -6,7 +6,10 @@ padding. Inside each bucket, batches of budget // boundary sequences are dealt i
 sources and every batch but the last of its bucket is full.
 
 Defined results: a document has its whitespace-separated words and one end token, so a null or empty text is one
-sequence of one token; rows that repeat a doc_id are packed each on their own; an empty table gives no rows.
+sequence of one token with an empty text; a very long text is cut into as many sequences as it needs; rows that repeat a
+doc_id, or have none, are packed each on their own; of plans with equal padding the one with fewer buckets and then smaller
+boundaries wins, and sequences of one hash are dealt by doc_id and piece; an empty table gives no rows. Only doc_id and text
+are read, so any further columns may have any name.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless, staged
+from .common import gapless, serial, staged
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -49,33 +52,45 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     return out[::-1]
 
 
-def word_tokens(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long") + 1
+def words_split(text: Column) -> Column:
+    """The whitespace-separated words of a text."""
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def sequences(docs: DataFrame, max_tokens: int, tokens=word_tokens) -> DataFrame:
-    """(doc_id, piece, start, n_tokens, order_hash): the pieces of every document, in tokens."""
-    counted = docs.select("doc_id", tokens(F.col("text")).alias("n"), F.xxhash64("doc_id", "text").alias("h"))
-    cut = counted.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / max_tokens) - 1, F.lit(0)))))
-    start = F.col("piece") * max_tokens
-    return cut.select(
-        "doc_id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(max_tokens)).cast("long").alias("n_tokens"),
-        F.xxhash64("h", "piece").alias("order_hash"),
+def sequences(docs: DataFrame, max_tokens: int, split=words_split) -> DataFrame:
+    """(doc_id, piece, start, n_tokens, text, order_hash): the pieces of every document, in tokens."""
+    text = F.coalesce("text", F.lit(""))
+    cut = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), split(text).alias("w"))
+    number = F.floor(F.size("w") / max_tokens).cast("int")  # of the last piece, which holds the end token
+    parts = F.transform(
+        F.sequence(F.lit(0), number),
+        lambda i: F.struct(
+            i.alias("piece"), F.array_join(F.slice("w", i * max_tokens + 1, F.lit(max_tokens)), " ").alias("text"),
+            (F.least(F.size("w") + 1 - i * max_tokens, F.lit(max_tokens))).alias("n"),
+        ),
+    )
+    each = cut.select("doc_id", "h", F.explode(parts).alias("p"))
+    piece = F.col("p.piece").cast("long")
+    return each.select(
+        "doc_id", piece.alias("piece"), (piece * max_tokens).alias("start"), F.col("p.n").cast("long").alias("n_tokens"), F.col("p.text").alias("text"),
+        F.xxhash64("h", piece).alias("order_hash"),
     )
 
 
-def pack(docs: DataFrame, max_tokens: int = 2048, buckets: int = 8, budget: int = 32_768, tokens=word_tokens) -> DataFrame:
-    """(doc_id, piece, start, n_tokens, boundary, batch, place) a row per sequence. batch counts from 0 inside its boundary;
-    place is the row of the sequence in the batch. boundary * rows of a batch never exceeds max(budget, boundary)."""
-    rows = staged(sequences(docs, max_tokens, tokens), "sequences")
-    histogram = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toPandas()
+def pack(docs: DataFrame, max_tokens: int = 2048, buckets: int = 8, budget: int = 32_768, split=words_split) -> DataFrame:
+    """(doc_id, piece, start, n_tokens, text, boundary, batch, place) a row per sequence. text: the tokens, joined by spaces,
+    without the end token. batch counts from 0 inside its boundary; place is the row of the sequence in the batch.
+    boundary * rows of a batch never exceeds max(budget, boundary). split turns a text into its array of tokens."""
+    rows = staged(sequences(docs, max_tokens, split).select("*", serial()), "sequences")
+    histogram = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most max_tokens rows
     chosen = boundaries(histogram["n_tokens"].to_numpy(), histogram["n"].to_numpy(), buckets) or [max_tokens]
     bound = F.lit(chosen[-1])
     for b in reversed(chosen[:-1]):
         bound = F.when(F.col("n_tokens") <= b, F.lit(b)).otherwise(bound)
-    ranked = gapless(rows.withColumn("boundary", bound.cast("long")), "boundary", ["doc_id", "piece", "n_tokens"], "order_hash", "slot")
+    bounded = rows.withColumn("boundary", bound.cast("long"))
+    ranked = gapless(bounded, "boundary", buckets, ["doc_id", "piece", "n_tokens"], "order_hash", "slot")
     size = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("boundary")))
     return ranked.select(
-        "doc_id", F.col("piece").cast("long").alias("piece"), F.col("start").cast("long").alias("start"), "n_tokens", "boundary",
+        "doc_id", "piece", "start", "n_tokens", "text", "boundary",
         F.floor(F.col("slot") / size).cast("long").alias("batch"), (F.col("slot") % size).cast("long").alias("place"),
     )

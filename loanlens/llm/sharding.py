@@ -4,8 +4,10 @@ Each shard s draws u(key, s) in (0, 1) from a hash of key and shard; the shard w
 key. The score of a shard does not depend on the others, so a further shard takes keys only into itself, and changing a
 weight moves keys only into or out of that shard.
 
-Defined results: the key is doc_id as text; null keys and rows that repeat a key go to one shard together; a null text has
-no bytes and the crc32 of nothing, 0. Only doc_id and text are read.
+Defined results: the key is doc_id as text; null keys and rows that repeat a key go to one shard together, each with a slot
+of its own; of equal scores the smaller shard wins; a null text has no bytes and the crc32 of nothing, 0, like an empty one;
+a text of any length counts whole; an empty table gives no rows. Only doc_id and text are read, so any further columns may
+have any name.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless, staged
+from .common import gapless, serial, staged
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
@@ -41,5 +43,5 @@ def shard(docs: DataFrame, shards: int = 8, weights: Sequence[float] | None = No
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
         rendezvous(F.col("doc_id"), weights).cast("int").alias("shard"), rendezvous(F.col("doc_id"), [*weights, 1.0]).cast("int").alias("grown_shard"),
     )
-    rows = staged(rows.withColumn("order_hash", F.xxhash64("doc_id", "text_crc32", "size")), "shards")
-    return gapless(rows, "shard", ["doc_id", "text_crc32", "size"], "order_hash", "slot").drop("order_hash")
+    rows = staged(rows.select("*", F.xxhash64("doc_id", "text_crc32", "size").alias("order_hash"), serial()), "shards")
+    return gapless(rows, "shard", len(weights), ["doc_id", "text_crc32", "size"], "order_hash", "slot").drop("order_hash")
