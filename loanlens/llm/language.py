@@ -4,8 +4,11 @@ Training counts every n-gram of every labelled row (no sample): each task adds i
 language and the arrays are summed in Spark. The log-probability matrix, languages x bins, has a fixed size and is
 broadcast; whole batches of texts are scored with numpy gathers and segment sums.
 
-Defined results: a text that is null or has no letter is `und` with score 0; rows with a null label are not learned
-from; with no labelled row at all every text is `und`. Only the columns named are read.
+Defined results: a text that is null, empty or has no letter is `und` with score 0; rows with a null label are not learned
+from; with no labelled row at all every text is `und`; of languages with equal posterior the first by name wins; rows that
+repeat count, and are predicted, each on their own; a text of any length is scored whole, in blocks; an empty table gives no
+rows. Only the columns named are read, so any further columns may have any name. Memory is bounded by Arrow batches, which
+Spark 4.1 cuts at spark.sql.execution.arrow.maxBytesPerBatch.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import normalised_letters, pieces, staged
 
@@ -125,14 +129,20 @@ def score_texts(texts: list[str | None], model: Model) -> tuple[list[str], np.nd
     return [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), n.tolist(), strict=True)], score
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) a row per row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def tag(rows: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """rows with two more columns; one of the others is text. No shuffle: every row is scored where it is read."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = score_texts(batch.column(1).to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            found, p = score_texts(batch.column(at).to_pylist(), shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(p, pa.float64())], names=[*batch.schema.names, lang, score])
+
+    fields = [*rows.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())]
+    return rows.mapInArrow(run, StructType(fields))
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang_pred, score) a row per row of docs."""
+    return tag(docs.select("doc_id", "text"), model).drop("text")
