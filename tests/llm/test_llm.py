@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from loanlens.llm import chroma, copies, decontaminate, language, licenses, packing, privacy, sharding, simhash, toxicity, warc
-from loanlens.llm.components import components
+from loanlens.operators.graph import components
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 DOCS = "doc_id long, text string, n string, term string, pos int, h int"
