@@ -53,8 +53,7 @@ def hashed(points: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def runs(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Code points of many texts in a row, in blocks of about STEP, and for each position the number of its text.
-    Between texts stands a space; n-grams over that edge hold two spaces and no letter pair of both texts."""
+    """Code points of many texts in a row, in blocks of about STEP, and for each position the number of its text."""
     held: list[np.ndarray] = []
     owner: list[np.ndarray] = []
     size = 0
@@ -73,6 +72,11 @@ def runs(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.concatenate(held), np.concatenate(owner)
 
 
+def inside(owner: np.ndarray, order: int) -> np.ndarray:
+    """Which n-grams, by end position, lie in one text; those over the edge of two belong to none."""
+    return owner[order - 1 :] == owner[: owner.size - order + 1]
+
+
 def train(labelled: DataFrame, bits: int = 16, smoothing: float = 0.5) -> Model:
     """labelled: (text, lang). Counts over all rows; the model has len(languages) * 2**bits numbers."""
     rows = labelled.filter("lang is not null").select("text", "lang")
@@ -86,9 +90,9 @@ def train(labelled: DataFrame, bits: int = 16, smoothing: float = 0.5) -> Model:
                 texts = [t for t, x in zip(batch.column(0).to_pylist(), langs, strict=True) if x == lang]
                 docs[lang] = docs.get(lang, 0) + len(texts)
                 own = bins.setdefault(lang, np.zeros(1 << bits, dtype=np.int64))
-                for points, _ in runs(texts):
-                    for _, b in hashed(points, bits):
-                        own += np.bincount(b, minlength=own.size)
+                for points, owner in runs(texts):
+                    for order, b in hashed(points, bits):
+                        own += np.bincount(b[inside(owner, order)], minlength=own.size)
         for lang, own in bins.items():
             at = np.nonzero(own)[0]
             at, n = np.append(at, -1), np.append(own[at], docs[lang])
@@ -116,7 +120,10 @@ def score_texts(texts: list[str | None], model: Model) -> tuple[list[str], np.nd
     for points, owner in runs(texts):
         np.add.at(n, owner[np.r_[True, owner[1:] != owner[:-1]]], 1)
         for order, bins in hashed(points, model.bits):
-            own = owner[order - 1 :]
+            within = inside(owner, order)
+            own, bins = owner[order - 1 :][within], bins[within]
+            if not own.size:
+                continue
             first = np.nonzero(np.r_[True, own[1:] != own[:-1]])[0]
             for k in range(len(model.languages)):
                 np.add.at(total[:, k], own[first], np.add.reduceat(model.matrix[:, k][bins], first, dtype=np.float64))
