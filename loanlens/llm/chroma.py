@@ -6,15 +6,21 @@ frames x classes image, each from four corners of its integral image, and quanti
 bits: one packed 32-bit integer a frame. Two recordings align at the offset that most of their equal integers share;
 the share of differing bits over the overlap there decides.
 
-Equal fingerprints are one class, kept once. Query classes are taken in blocks of bounded size; each block is an index
-(sorted integers) that is broadcast, and every class streams past it, so no pair is ever a row of a join.
-
-Defined results: a null or empty recording, or one shorter than a fingerprint needs, is padded with silence; rows that
-repeat an id are all in the class; null ids are never queries. Only the named columns are read.
+Equal fingerprints are one class, kept once. Query classes are taken in blocks of bounded size; the fingerprints of a block
+are broadcast, each worker sorts their integers into an index, and every class streams past it, so no pair is ever a row of
+a join. There are as many passes over the fingerprints (a sixteenth of the samples) as the queries fill blocks; the number of
+equal integers met grows with queries times recordings.
+
+Defined results: ids are integers; a null or empty recording, or one shorter than a fingerprint needs, is padded with
+silence; a recording of any length is used whole (a block holds one at least); rows that repeat an id are each in the class
+of their own samples; null ids are never queries; of offsets with equal votes the one nearest to zero counts, then the
+smaller, and of queries with equal errors the smaller class; an empty table gives no rows. Only the named columns are read,
+so any further columns may have any name.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import scratch, staged
 
 
 @dataclass(frozen=True)
@@ -124,20 +130,30 @@ def bit_errors(x: np.ndarray, y: np.ndarray, offset: int) -> tuple[int, float]:
     return n, float(np.bitwise_count(a[:n] ^ b[:n]).sum() / (32 * n)) if n else 1.0
 
 
+#: The index of the last block that this worker has met.
+_INDEX: list = [None, None]
+
+
 class Block:
-    """An index of some query classes: (class, queries in it, fingerprint)."""
+    """The fingerprints of some query classes: (class, queries in it, fingerprint)."""
 
     def __init__(self, ids: list[int], weights: list[int], prints: list[np.ndarray]):
-        self.ids, self.weights, self.prints = ids, weights, prints
-        values = np.concatenate(prints) if prints else np.zeros(0, np.uint32)
-        owner = np.concatenate([np.full(len(p), i, np.int64) for i, p in enumerate(prints)]) if prints else np.zeros(0, np.int64)
-        place = np.concatenate([np.arange(len(p)) for p in prints]) if prints else np.zeros(0, np.int64)
-        order = np.argsort(values, kind="stable")
-        self.values, self.owner, self.place = values[order], owner[order], place[order]
-
-    def search(self, own: int, fp: np.ndarray, rule: Rule, step: int = 1 << 20) -> tuple[int, int | None, int | None, float | None]:
-        """(queries linked, best class, its offset, its share of differing bits) for one class, itself left out."""
-        lo, hi = np.searchsorted(self.values, fp, "left"), np.searchsorted(self.values, fp, "right")
+        self.ids, self.weights, self.prints, self.name = ids, weights, prints, uuid.uuid4().hex
+
+    def index(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All integers in order, with the number of their class and their place in it; made once in a worker."""
+        if _INDEX[0] != self.name:
+            values = np.concatenate([np.zeros(0, np.uint32), *self.prints])
+            owner = np.repeat(np.arange(len(self.prints)), [len(p) for p in self.prints]).astype(np.int64)
+            place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(p)) for p in self.prints)])
+            order = np.argsort(values, kind="stable")
+            _INDEX[:] = self.name, (values[order], owner[order], place[order])
+        return _INDEX[1]
+
+    def search(self, own: int, fp: np.ndarray, rule: Rule, step: int = 1 << 20) -> list[tuple[int, int, int, float]]:
+        """(query class, queries in it, offset, share of differing bits) of every class that this one aligns with."""
+        values, owner, place = self.index()
+        lo, hi = np.searchsorted(values, fp, "left"), np.searchsorted(values, fp, "right")
         hits = np.cumsum(hi - lo)
         span = np.int64(1) << 32
         votes: dict[int, int] = {}
@@ -149,7 +165,7 @@ class Block:
             if total := int(n.sum()):
                 first = np.repeat(lo[at:stop] - np.r_[0, np.cumsum(n)[:-1]], n)
                 k = first + np.arange(total)
-                key = self.owner[k] * span + (np.repeat(np.arange(at, stop), n) - self.place[k]) + (span >> 1)
+                key = owner[k] * span + (np.repeat(np.arange(at, stop), n) - place[k]) + (span >> 1)
                 for x, c in zip(*(z.tolist() for z in np.unique(key, return_counts=True)), strict=True):
                     votes[x] = votes.get(x, 0) + c
             at = stop
@@ -159,51 +175,79 @@ class Block:
             offset -= int(span >> 1)
             if c >= rule.votes and (q not in top or (-c, abs(offset), offset) < (-top[q][0], abs(top[q][1]), top[q][1])):
                 top[q] = (c, offset)
-        linked, best = 0, (2.0, 0, 0)
-        for q, (_, offset) in top.items():
-            if self.ids[q] == own:
-                continue
-            n, errors = bit_errors(fp, self.prints[q], offset)
-            if n >= min(rule.overlap, len(fp), len(self.prints[q])) and errors <= rule.errors:
-                linked += self.weights[q]
-                best = min(best, (errors, self.ids[q], offset))
-        return (linked, best[1], best[2], best[0]) if linked else (0, None, None, None)
-
-
-def align(recordings: DataFrame, every: int = 50, rule: Rule = Rule(), block_frames: int = 2_000_000) -> DataFrame:
-    """(id, class_id, n_frames, fp_sha256, n_links, best_class, best_offset, best_errors) a row per recording. Queries are
-    the recordings whose id is divisible by `every`; n_links counts those in other classes that the recording aligns with,
-    best_class is the class of the one with the fewest bit errors. class_id: the smallest id of an equal fingerprint."""
-    own = staged(fingerprints(recordings, rule), "audio")
+        out = []
+        for q, (_, offset) in sorted(top.items()):
+            if self.ids[q] != own:
+                n, errors = bit_errors(fp, self.prints[q], offset)
+                if n >= min(rule.overlap, len(fp), len(self.prints[q])) and errors <= rule.errors:
+                    out.append((self.ids[q], self.weights[q], offset, errors))
+        return out
+
+
+def classes_of(own: DataFrame, every: int) -> DataFrame:
+    """(id, fp) -> (fp, class_id, queries, frames): class_id is the smallest id of an equal fingerprint, queries how many of
+    its ids are divisible by `every`."""
     is_query = F.coalesce((F.col("id") % every == 0).cast("int"), F.lit(0))
-    classes = staged(
-        own.groupBy("fp").agg(F.min("id").alias("class_id"), F.sum(is_query).alias("queries")).withColumn("frames", (F.octet_length("fp") / 4).cast("long")),
-        "audio-classes",
-    )
+    found = own.groupBy("fp").agg(F.min("id").alias("class_id"), F.sum(is_query).alias("queries"))
+    return found.withColumn("frames", (F.octet_length("fp") / 4).cast("long"))
+
+
+def _searched(classes: DataFrame, rule: Rule, block_frames: int, rows, names: tuple[str, ...], kinds: tuple) -> DataFrame:
+    """What `rows` makes of the links of each class with each block of query classes; every block is bounded, whatever the
+    corpus, and searched by all classes."""
     total = classes.filter("queries > 0").agg(F.coalesce(F.sum("frames"), F.lit(0))).first()[0]
     n_blocks = max(1, -(-total // block_frames))
+    types = ", ".join(f"{n} {'double' if k == pa.float64() else 'bigint'}" for n, k in zip(names, kinds, strict=True))
     found = None
-    for b in range(n_blocks):  # each block is bounded, whatever the corpus; it is searched by all classes
+    for b in range(n_blocks):
         part = classes.filter((F.col("queries") > 0) & (F.pmod(F.xxhash64("fp"), F.lit(n_blocks)) == b)).select("class_id", "queries", "fp").toArrow()
         block = Block(part.column(0).to_pylist(), part.column(1).to_pylist(), [np.frombuffer(x, "<u4") for x in part.column(2).to_pylist()])
-        shared = recordings.sparkSession.sparkContext.broadcast(block)
+        shared = classes.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [shared.value.search(c, np.frombuffer(f, "<u4"), rule) for c, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-                columns = list(zip(*rows, strict=True)) or [[]] * 4
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["class_id", "n_links", "best_class", "best_offset", "best_errors"])
+                out = []
+                for own, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    out += rows(own, shared.value.search(own, np.frombuffer(fp, "<u4"), rule))
+                columns = list(zip(*out, strict=True)) or [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
 
-        hits = staged(classes.select("class_id", "fp").mapInArrow(run, "class_id bigint, n_links bigint, best_class bigint, best_offset bigint, best_errors double").filter("n_links > 0"), "audio-links")
+        hits = staged(classes.select("class_id", "fp").mapInArrow(run, types), "audio-links")
         found = hits if found is None else found.unionByName(hits)
-    best = F.min_by(F.struct("best_class", "best_offset", "best_errors"), F.struct("best_errors", "best_class")).alias("best")
-    merged = found.groupBy(F.col("class_id").alias("c")).agg(F.sum("n_links").alias("n_links"), best)
-    answers = staged(
-        classes.join(merged, F.col("class_id") == F.col("c"), "left").select(
-            F.col("fp").alias("f"), "class_id", F.col("frames").alias("n_frames"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "best.best_class", "best.best_offset", "best.best_errors"
-        ), "audio-answers",
+    return found
+
+
+def links(classes: DataFrame, rule: Rule = Rule(), block_frames: int = 8_000_000) -> DataFrame:
+    """classes as of classes_of -> (class_id, query_class, offset, errors), a row per class and query class that align."""
+    rows = lambda own, found: [(own, q, offset, errors) for q, _, offset, errors in found]
+    return _searched(classes, rule, block_frames, rows, ("class_id", "query_class", "offset", "errors"), (pa.int64(), pa.int64(), pa.int64(), pa.float64()))
+
+
+def align(recordings: DataFrame, every: int = 50, rule: Rule = Rule(), block_frames: int = 8_000_000) -> DataFrame:
+    """(id, class_id, n_frames, fp_sha256, n_links, best_class, best_offset, best_errors) a row per recording. Queries are
+    the recordings whose id is divisible by `every`; n_links counts those in other classes that the recording aligns with,
+    best_class is the class of the one with the fewest bit errors. links() has them all. class_id: the smallest id of an
+    equal fingerprint."""
+
+    def rows(own: int, found: list[tuple[int, int, int, float]]) -> list[tuple]:
+        if not found:
+            return []
+        best = min(found, key=lambda f: (f[3], f[0], f[2]))
+        return [(own, sum(f[1] for f in found), best[0], best[2], best[3])]
+
+    names = ("class_id", "n_links", "best_class", "best_offset", "best_errors")
+    with scratch() as kept:
+        own = staged(fingerprints(recordings, rule), "audio")
+        classes = staged(classes_of(own, every), "audio-classes")
+        found = _searched(classes, rule, block_frames, rows, names, (*[pa.int64()] * 4, pa.float64()))
+        best = F.min_by(F.struct("best_class", "best_offset", "best_errors"), F.struct("best_errors", "best_class")).alias("best")
+        merged = found.groupBy(F.col("class_id").alias("c")).agg(F.sum("n_links").alias("n_links"), best)
+        answers = classes.join(merged, F.col("class_id").eqNullSafe(F.col("c")), "left").select(
+            F.sha2("fp", 256).alias("fp_sha256"), "class_id", F.col("frames").alias("n_frames"),
+            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "best.best_class", "best.best_offset", "best.best_errors",
+        )
+        kept += [own, staged(answers, "audio-answers")]
+    own, answers = kept
+    return own.select("id", F.sha2(F.col("fp"), 256).alias("fp_sha256")).join(answers, "fp_sha256").select(
+        "id", "class_id", "n_frames", "fp_sha256", "n_links", "best_class", "best_offset", "best_errors"
     )
-    digest = F.sha2(F.col("fp"), 256)
-    keyed = answers.select(F.sha2("f", 256).alias("fp_sha256"), "class_id", "n_frames", "n_links", "best_class", "best_offset", "best_errors")
-    return own.select("id", digest.alias("fp_sha256")).join(keyed, "fp_sha256").select("id", "class_id", "n_frames", "fp_sha256", "n_links", "best_class", "best_offset", "best_errors")
