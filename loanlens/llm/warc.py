@@ -1,19 +1,21 @@
 """WARC archives over a chunked record table.
 
-A payload is a run of rows (record_id, chunk_no, data) of at most `chunk` bytes each; digests are carried from chunk to
-chunk, so Python never holds a record. Writing: each chunk becomes a WARC record (a first segment and `continuation`
-records after it, as WARC/1.0 segmentation has them), and Spark's own text sink writes them, gzipped, to any file system
-that Spark reaches, CR LF CR LF closing every record. Reading: Spark's text source cuts the files at record heads without
-holding a file, and the segments of a record are digested in order as they stream by. The writer ends a segment
-inside every version mark that a payload holds itself, so a cut is always a record's edge; a segment whose length is not its
-Content-Length is refused.
+A payload is a run of rows (row, record_id, part, data) of at most `chunk` bytes each, written once: past the source row no
+column holds a whole record, neither in the JVM nor in Python. Each part is cut out of the source's bytes by itself; a record
+of one part is digested as it is cut, the digests of longer ones are carried from part to part. Writing: each part becomes a
+WARC record (a first segment and `continuation` records after it, as WARC/1.0 segmentation has them), and Spark's own text
+sink writes them, gzipped, to any file system that Spark reaches, CR LF CR LF closing every record. Reading: Spark's text
+source cuts the files at record heads without holding a file, and the segments of a record are digested in order as they
+stream by. The writer ends a segment inside every version mark that a payload holds itself, so a cut is always a record's
+edge; a segment whose length is not its Content-Length is refused.
 
 Of records with equal payloads of at least `least` bytes, the one with the largest id is a `response` and the others are
 `revisit` records without payload that refer to it.
 
 Defined results: a null payload is empty; rows that repeat an id and payload are all the same type, and each comes back;
-a null id is written as an empty one and comes back null. Only the named columns are read; the uri may be null, and
-CR or LF in it become spaces.
+a null id is written as an empty one, comes back null, and is a response; a payload of any length that a cell can hold is cut
+into as many segments as it needs; an empty table gives an archive without records. Only the named columns are read, so any
+further columns may have any name; the uri may be null, and CR or LF in it become spaces.
 """
 
 from __future__ import annotations
@@ -22,66 +24,66 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import broadcast_if, scratch, staged
 
 HEAD = "WARC/1.0\r\n"
 END = "\r\n\r\n"
+#: Bytes of a payload in one row or segment, at most.
 CHUNK = 1 << 18
+#: Revisits beyond this count are joined by a shuffle instead of a broadcast.
+BROADCAST_ROWS = 1_000_000
+MARK = "WARC/1.0"
+
+
+def edge(data: Column, at: Column) -> Column:
+    """The last start of a character at or before byte `at`: at most three bytes back."""
+    byte = lambda k: F.hex(F.substring(data, at + 1 - k, F.lit(1)))
+    inside = lambda k: byte(k).between("80", "BF")
+    return F.when(~inside(0), at).when(~inside(1), at - 1).when(~inside(2), at - 2).otherwise(at - 3)
 
 
 def chunked(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """records (record_id, uri, payload string) -> (record_id, uri, chunk_no, n_chunks, data binary), the chunks of a
-    record in a row of rows. A chunk has at most `chunk` code points and holds no version mark (WARC/1.0)."""
-    payload = F.coalesce("payload", F.lit(""))
-    # a cut inside every version mark, then by length
-    parts = F.split(payload, "(?<=W)(?=ARC/1[.]0)", -1)
-    sized = F.flatten(
-        F.transform(
-            parts,
-            lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(p) / chunk).cast("int") - 1, F.lit(0))), lambda i: F.substring(p, i * chunk + 1, F.lit(chunk))),
-        )
+    """records (record_id, uri, payload string) -> (row, record_id, uri, single, cut, part, data string): the parts of each
+    record, by cut and part. A part has at most `chunk` bytes and holds no version mark (WARC/1.0). single: the record's
+    only part. row tells records apart once the table is staged."""
+    if chunk < 16:
+        raise ValueError("a chunk has 16 bytes at least")
+    data = F.coalesce("payload", F.lit("")).cast("binary")
+    rows = records.select(F.monotonically_increasing_id().alias("row"), "record_id", "uri", data.alias("data"))
+    n = F.octet_length("data")
+    cuts = F.greatest(F.ceil(n / chunk).cast("int"), F.lit(1))
+    each = rows.select("*", cuts.alias("cuts"), F.explode(F.sequence(F.lit(0), cuts - 1)).alias("cut"))
+    low = F.when(F.col("cut") == 0, F.lit(0)).otherwise(edge(F.col("data"), F.col("cut") * chunk))
+    high = F.when(F.col("cut") + 1 == F.col("cuts"), n).otherwise(edge(F.col("data"), (F.col("cut") + 1) * chunk))
+    text = each.select("row", "record_id", "uri", "cuts", "cut", F.substring("data", low + 1, high - low).cast("string").alias("text"))
+    # a cut inside every version mark; a mark that is over an edge is cut already
+    parts = F.when(F.contains("text", F.lit(MARK)), F.split("text", "(?<=W)(?=ARC/1[.]0)", -1)).otherwise(F.array("text"))
+    split = text.select("row", "record_id", "uri", "cuts", "cut", parts.alias("parts"))
+    return split.select(
+        "row", "record_id", "uri", ((F.col("cuts") == 1) & (F.size("parts") == 1)).alias("single"), "cut", F.posexplode("parts").alias("part", "data")
     )
-    return records.select("record_id", "uri", sized.alias("c")).select(
-        "record_id", "uri", F.size("c").alias("n_chunks"), F.posexplode("c").alias("chunk_no", "part")
-    ).select("record_id", "uri", F.col("chunk_no").cast("int").alias("chunk_no"), "n_chunks", F.col("part").cast("binary").alias("data"))
 
 
-def digested(chunks: DataFrame) -> DataFrame:
-    """chunks in order (record_id, chunk_no, data, ...) -> the last chunk of each record as (record_id, n_bytes, sha1).
-    record_id, chunk_no 0 starts a record; the running digest is all that is kept between batches."""
-    kind = chunks.schema["record_id"].dataType.simpleString()
+def digested(parts: DataFrame) -> DataFrame:
+    """Staged parts -> (row, record_id, n_bytes, sha1), a row per record: those of one part from their digest, the others
+    brought together and streamed in order."""
+    single = parts.filter("single").select("row", "record_id", "n_bytes", "sha1")
+    number = F.row_number().over(Window.partitionBy("row").orderBy("cut", "part"))
+    long = parts.filter("not single").select("row", "record_id", number.alias("number"), F.col("data").cast("binary").alias("data"))
+    urns = long.select(F.col("row").cast("string").alias("record_urn"), F.col("number").alias("segment"), "data")
+    summed = _streamed(urns).select(F.col("record_urn").cast("long").alias("row"), "n_bytes", "sha1")
+    ids = parts.filter("not single and cut = 0 and part = 0").select("row", "record_id")
+    return single.unionByName(summed.join(ids, "row").select("row", "record_id", "n_bytes", "sha1"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, size = hashlib.sha1(), 0
-        for batch in batches:
-            ids, sizes, digests = [], [], []
-            records = batch.column(0).to_pylist()
-            numbers, totals, data = (batch.column(i) for i in (1, 2, 3))
-            for i, record in enumerate(records):
-                if numbers[i].as_py() == 0:
-                    digest, size = hashlib.sha1(), 0
-                piece = data[i].as_buffer()
-                digest.update(piece)
-                size += piece.size
-                if numbers[i].as_py() == totals[i].as_py() - 1:
-                    ids.append(record)
-                    sizes.append(size)
-                    digests.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], names=["record_id", "n_bytes", "sha1"])
-
-    return chunks.select("record_id", "chunk_no", "n_chunks", "data").mapInArrow(run, f"record_id {kind}, n_bytes bigint, sha1 string")
 
-
-def referred(digests: DataFrame, least: int) -> DataFrame:
-    """(record_id, n_bytes, sha1) -> distinct rows with refers_to: the largest id of an equal payload, null for a response."""
+def revisits(digests: DataFrame, least: int) -> DataFrame:
+    """(row, refers_to): the records whose payload another one holds, with the largest id of them."""
     large = digests.filter((F.col("n_bytes") >= least) & F.col("record_id").isNotNull())
-    heads = large.groupBy("sha1", "n_bytes").agg(F.max("record_id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    heads = heads.select(F.col("sha1").alias("s"), F.col("n_bytes").alias("b"), "head")
-    joined = digests.distinct().join(heads, (F.col("sha1") == F.col("s")) & (F.col("n_bytes") == F.col("b")), "left")
-    return joined.select("record_id", "n_bytes", "sha1", F.when(F.col("record_id") != F.col("head"), F.col("head")).alias("refers_to"))
+    heads = large.groupBy("sha1", "n_bytes").agg(F.max("record_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return large.join(heads, ["sha1", "n_bytes"]).filter("record_id <> refers_to").select("row", "refers_to")
 
 
 def urn(record_id: Column, sha1: Column) -> Column:
@@ -90,39 +92,52 @@ def urn(record_id: Column, sha1: Column) -> Column:
 
 def write(records: DataFrame, path: str, chunk: int = CHUNK, least: int = 1000, date: str = "2024-01-01T00:00:00Z") -> None:
     """records (record_id, uri, payload) -> WARC files in path."""
-    sources = records.select("record_id", "uri", "payload")
-    types = staged(referred(staged(digested(chunked(sources, chunk)), "digests"), least), "types")
-    key = F.sha1(F.coalesce("payload", F.lit("")).cast("binary"))
-    types = types.select(F.col("record_id").alias("__id"), F.col("sha1").alias("__sha1"), "refers_to")
-    typed = sources.withColumn("__own", key).join(types, F.col("record_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha1")))
-    revisit = F.col("refers_to").isNotNull()
-    ready = typed.select(
-        F.struct("record_id", "__sha1", "refers_to").alias("record_id"), "uri", F.when(revisit, F.lit("")).otherwise(F.col("payload")).alias("payload")
-    )
-    rows = chunked(ready, chunk)
-    r, number = "record_id.", F.col("chunk_no") + 1
-    own = urn(F.col(r + "record_id"), F.col(r + "__sha1"))
-    first, is_revisit = F.col("chunk_no") == 0, F.col(r + "refers_to").isNotNull()
+    with scratch():
+        parts = chunked(records.select("record_id", "uri", "payload"), chunk)
+        data = F.col("data").cast("binary")
+        own = lambda c: F.when(F.col("single"), c)
+        parts = staged(parts.select("*", own(F.octet_length(data).cast("long")).alias("n_bytes"), own(F.sha1(data)).alias("sha1")), "parts")
+        digests = staged(digested(parts), "digests")
+        again = staged(revisits(digests, least), "revisits")
+        n_again = again.count()
+        again = broadcast_if(again.withColumnRenamed("row", "r"), n_again, BROADCAST_ROWS)
+        typed = parts.join(again, F.col("row") == F.col("r"), "left").drop("r")
+        # a revisit is its first part without data
+        typed = typed.filter("refers_to is null or (cut = 0 and part = 0)").withColumn("data", F.when(F.col("refers_to").isNull(), F.col("data")).otherwise(F.lit("")))
+        single = typed.filter("single").withColumn("number", F.lit(1))
+        order = F.row_number().over(Window.partitionBy("row").orderBy("cut", "part"))
+        sums = digests.select(F.col("row").alias("r"), F.col("n_bytes").alias("total"), F.col("sha1").alias("digest"))
+        long = typed.filter("not single").join(sums, F.col("row") == F.col("r")).withColumn("number", order)
+        long = long.withColumn("sha1", F.col("digest")).drop("r", "total", "digest")
+        lines = single.unionByName(long).select(_record(date).alias("value"))
+        lines.write.option("lineSep", END).option("compression", "gzip").text(path)
+
+
+def _record(date: str) -> Column:
+    """The WARC record of a part (record_id, uri, single, number, sha1, refers_to, data)."""
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
+    none, number, first = F.lit(""), F.col("number").cast("string"), F.col("number") == 1
+    again = F.col("refers_to").isNotNull()
+    own = urn(F.col("record_id"), F.col("sha1"))
     uri = F.regexp_replace(F.col("uri"), "[\r\n]", " ")
-    segment = F.when(F.col("n_chunks") > 1, line("WARC-Segment-Number", number.cast("string"))).otherwise(F.lit(""))
-    head = F.concat(
+    segmented = ~F.col("single") & ~again
+    return F.concat(
         F.lit(HEAD),
-        line("WARC-Type", F.when(~first, F.lit("continuation")).when(is_revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", F.when(first, own).otherwise(F.concat(F.regexp_replace(own, ">$", ""), F.lit(":"), number.cast("string"), F.lit(">")))),
+        line("WARC-Type", F.when(~first, F.lit("continuation")).when(again, F.lit("revisit")).otherwise(F.lit("response"))),
+        line("WARC-Record-ID", F.when(first, own).otherwise(F.concat(F.regexp_replace(own, ">$", ""), F.lit(":"), number, F.lit(">")))),
         line("WARC-Date", F.lit(date)),
-        F.when(uri.isNotNull() & first, line("WARC-Target-URI", uri)).otherwise(F.lit("")),
-        F.when(first, line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col(r + "__sha1")))).otherwise(F.lit("")),
-        F.when(is_revisit, F.concat(
+        F.when(uri.isNotNull() & first, line("WARC-Target-URI", uri)).otherwise(none),
+        F.when(first, line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1")))).otherwise(none),
+        F.when(again, F.concat(
             line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")),
-            line("WARC-Refers-To", urn(F.col(r + "refers_to"), F.col(r + "__sha1"))),
-        )).otherwise(F.lit("")),
-        segment,
-        F.when((F.col("n_chunks") > 1) & ~first, line("WARC-Segment-Origin-ID", own)).otherwise(F.lit("")),
+            line("WARC-Refers-To", urn(F.col("refers_to"), F.col("sha1"))),
+        )).otherwise(none),
+        F.when(segmented, line("WARC-Segment-Number", number)).otherwise(none),
+        F.when(segmented & ~first, line("WARC-Segment-Origin-ID", own)).otherwise(none),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.octet_length("data").cast("string")),
+        F.lit("\r\n"), F.col("data"),
     )
-    rows.select(F.concat(head, F.lit("\r\n"), F.col("data").cast("string")).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -190,7 +205,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     # a record in one segment is as small as a chunk and digested where it is read; only the others are brought together
     kept = segments.filter("type in ('response', 'continuation')")
     single = kept.filter(~F.col("segmented")).select("record_urn", F.octet_length("data").cast("long").alias("n_bytes"), F.sha1("data").alias("sha1"), F.lit(1).alias("copies"))
-    payloads = staged(single.unionByName(_streamed(kept.filter("segmented"))), "payloads")
+    payloads = staged(single.unionByName(_streamed(kept.filter("segmented"))), "payloads")  # read lazily by the result
     name = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:record:(.*):[0-9a-f]*>$", 1), F.lit(""))
     responses = payloads.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(
         name("record_urn").alias("record_id"), F.col("n_bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"),
