@@ -11,10 +11,15 @@ context for n-grams never seen. A text is scored by its length-normalised ratio
 mean of its most toxic words, each normalised by its length; a logistic curve, fitted on labelled rows that the counts
 leave out, turns both into a probability.
 
-Counts and continuation counts cover all labelled rows given and are kept by the n-gram itself; the tables that are
-broadcast have an entry for each n-gram and context counted, found by its 64-bit hash. Defined results: a null, empty or letterless text has features (0, 0, 0) and
-the score these get; rows without label are not learned from; with no row of either class every score is 0.5 on the safe
-side, that is 0.
+Counts and continuation counts cover all labelled rows given and are kept by the n-gram itself, summed in Spark, so the model
+is the same however the rows are dealt. The tables that are broadcast have an entry for each n-gram and context counted,
+found by its 64-bit hash: they grow with the different n-grams of the labelled texts, not with the corpus.
+
+Defined results: a null, empty or letterless text has features (0, 0, 0) and the score these get; rows without a label are
+not learned from; if a class has no row the score is 0; rows that repeat count, and are scored, each on their own; texts of
+any length are counted and scored whole, in pieces of bounded size (words and n-grams over an edge are seen by both); equal
+word means are interchangeable; an empty table gives no rows. Only the columns named are read, so any further columns may
+have any name.
 """
 
 from __future__ import annotations
