@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, staged
+from .common import scratch, sliced, staged
 
 
 @dataclass(frozen=True)
@@ -113,7 +113,7 @@ def fingerprints(recordings: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """recordings (id, pcm binary: unsigned 8-bit mono) -> (id, fp binary: little-endian uint32 a frame)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for b in batch.column(1).to_pylist():
                 out.append(fingerprint((np.frombuffer(b or b"", np.uint8).astype(np.float32) - 128) / 128, rule).astype("<u4").tobytes())

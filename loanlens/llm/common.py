@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,6 +121,18 @@ def normalised_letters(text: str) -> np.ndarray:
     return np.concatenate([np.array([32], np.uint32), body, np.array(tail, np.uint32)])
 
 
+#: Bytes of an Arrow batch that are turned into Python objects at once.
+SLICE = 1 << 22
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in slices of about SLICE bytes, one row at least: what is made of them stays small."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE // max(batch.nbytes, SLICE))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def pieces(text: str | None, size: int, overlap: int = 0):
     """The text cut into pieces of bounded size; each repeats the last `overlap` characters before it."""
     text = text or ""

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import normalised_letters, pieces, staged
+from .common import normalised_letters, pieces, sliced, staged
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -84,7 +84,7 @@ def train(labelled: DataFrame, bits: int = 16, smoothing: float = 0.5) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             langs = batch.column(1).to_pylist()
             for lang in set(langs):
                 texts = [t for t, x in zip(batch.column(0).to_pylist(), langs, strict=True) if x == lang]
@@ -142,7 +142,7 @@ def tag(rows: DataFrame, model: Model, lang: str = "lang_pred", score: str = "sc
     at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found, p = score_texts(batch.column(at).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(p, pa.float64())], names=[*batch.schema.names, lang, score])
 

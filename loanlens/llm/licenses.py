@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import sliced
 from .licence_texts import TEMPLATES
 
 # Phrases and labels of the base scan.
@@ -249,7 +250,7 @@ def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(scanner or Scanner())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = [shared.value.scan(t) for t in batch.column(1).to_pylist()]
             spans = [[dict(zip(("label", "base", "start", "stop", "coverage"), s, strict=True)) for s in x] for _, x in out]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in out], pa.int64()), pa.array(spans, pa.list_(SPAN))], names=["doc_id", "n_words", "spans"])

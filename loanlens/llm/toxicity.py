@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import normalised_letters, pieces, staged
+from .common import normalised_letters, pieces, sliced, staged
 
 ORDER = 5
 STEP = 1 << 20
@@ -106,7 +106,7 @@ def count(labelled: DataFrame) -> DataFrame:
     """labelled (text, toxic) -> (gram, toxic_n, plain_n) summed over all rows; gram is the n-gram itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             labels = batch.column(1).to_pylist()
             texts = batch.column(0).to_pylist()
             for c in (0, 1):
@@ -231,7 +231,7 @@ def featured(docs: DataFrame, model: Ratios, keep: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             f = features(batch.column(0).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(f[:, k].copy()) for k in range(3))], names=[*keep, "f1", "f2", "f3"])
 
