@@ -35,6 +35,7 @@ class TestSet:
     n_vocabulary: int
     n_windows: int
     n_members: int
+    window: int
 
 
 @dataclass
@@ -74,7 +75,7 @@ def build_tests(items: DataFrame, window: int = 10) -> TestSet:
     terms = windows.select("win_id", F.size("win").alias("length"), F.posexplode("win").alias("offset", "term")).join(
         broadcast_if(vocabulary, n_vocabulary, BROADCAST_ROWS), "term"
     )
-    return TestSet(vocabulary, staged(terms.drop("term"), "window-terms"), members, n_vocabulary, n_windows, members.count())
+    return TestSet(vocabulary, staged(terms.drop("term"), "window-terms"), members, n_vocabulary, n_windows, members.count(), window)
 
 
 def build_index(docs: DataFrame, tests: TestSet) -> Index:
@@ -166,40 +167,39 @@ def proximity_matches(tests: TestSet, index: Index, terms: int = 3, slop: int =
     )
 
 
-def near_matches(docs: DataFrame, tests: TestSet, index: Index) -> DataFrame:
+def near_matches(docs: DataFrame, tests: TestSet) -> DataFrame:
     """Verified looser matches: every (win_id, doc_id, text_hash, start) where at least four fifths of the window's words
     stand in their places. Cut into one block more than words may be missing, a window has a whole block in any such place:
     the first three words of its blocks (two of a window of five words) are looked up, and each start they give is
-    verified."""
+    verified against the window's words where the text is read, so only matches are shuffled."""
     may_miss = F.floor(F.col("length") / 5).cast("int")
     terms = tests.terms.select("win_id", "length", "offset", "term_id", may_miss.alias("may_miss")).filter("may_miss > 0")
-    in_order = F.array_sort(F.collect_list(F.struct("offset", "term")))  # a window has 60 words at most
-    words = terms.join(tests.vocabulary, "term_id").groupBy("win_id", "length", "may_miss").agg(in_order.alias("words"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("offset", "term"))), lambda x: x["term"])  # 60 words at most
+    named = terms.join(broadcast_if(tests.vocabulary, tests.n_vocabulary, BROADCAST_ROWS), "term_id")
+    words = named.groupBy("win_id", "length", "may_miss").agg(in_order.alias("own"))
     at = F.expr("cast(floor(block * length / (may_miss + 1)) as int)")
     blocks = words.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("may_miss")))).withColumn("at", at)
-    two, three = (F.xxhash64(*(F.expr(f"words[at + {k}].term") for k in range(n))) for n in (2, 3))
+    two, three = (F.xxhash64(*(F.expr(f"own[at + {k}]") for k in range(n))) for n in (2, 3))
     short = F.col("length") == 5
-    keys = staged(blocks.select("win_id", "at", F.when(short, two).otherwise(three).alias("key"), short.alias("short")), "near-keys")
+    keys = staged(blocks.select("win_id", "length", "may_miss", "at", "own", F.when(short, two).otherwise(three).alias("key"), short.alias("short")), "near-keys")
     three_words = F.arrays_zip(
         F.col("words").alias("a"), F.expr("slice(words, 2, size(words))").alias("b"), F.expr("slice(words, 3, size(words))").alias("c")
     )
-    places = rows_of(docs).select(*ROW, F.posexplode(three_words).alias("pos", "z"))
-    agreed = None
+    places = rows_of(docs).select(*ROW, "words", F.posexplode(three_words).alias("pos", "z"))
+    found = None
     for n, is_short in ((3, False), (2, True)):
         own = keys.filter(F.col("short") == is_short).drop("short")
         if is_short and own.isEmpty():
             continue
-        hashed = places.select(*ROW, "pos", F.xxhash64(*(F.col(f"z.{c}") for c in "abc"[:n])).alias("k"))
+        hashed = places.select(*ROW, "words", "pos", F.xxhash64(*(F.col(f"z.{c}") for c in "abc"[:n])).alias("k"))
         met = hashed.join(broadcast_if(own, tests.n_windows, BROADCAST_ROWS // 10), F.col("k") == F.col("key"))
-        met = met.select("win_id", *ROW, (F.col("pos") - F.col("at")).alias("start"))
-        agreed = met if agreed is None else agreed.unionByName(met)
-    agreed = staged(agreed.distinct(), "near-agreed")
-    wanted = agreed.join(broadcast_if(terms, tests.n_windows, BROADCAST_ROWS // 10), "win_id")
-    return (
-        wanted.join(_postings_of(index, agreed), _in_place(), "left_semi")
-        .groupBy("win_id", *ROW, "start", "length", "may_miss").agg(F.count(F.lit(1)).alias("n"))
-        .filter("n >= length - may_miss").select("win_id", *ROW, "start")
-    )
+        met = met.withColumn("start", F.col("pos") - F.col("at"))
+        # spelt out, not as a higher-order function: it stays in the generated code of the join, and no row with a whole text leaves it
+        other = lambda i: ~F.get("words", F.col("start") + i).eqNullSafe(F.get("own", F.lit(i)))
+        missing = sum(F.when((F.lit(i) < F.col("length")) & other(i), 1).otherwise(0) for i in range(tests.window))
+        met = met.filter(missing <= F.col("may_miss")).select("win_id", *ROW, "start")
+        found = met if found is None else found.unionByName(met)
+    return found.distinct()
 
 
 def _items(found: DataFrame, tests: TestSet, out: str) -> DataFrame:
@@ -238,7 +238,7 @@ def decontaminate_loosely(docs: DataFrame, items: DataFrame, window: int = 10, t
         tests = build_tests(items, window)
         index = build_index(docs, tests)
         exact = staged(phrase_matches(tests, index), "matches")
-        near = near_matches(docs, tests, index).select("win_id", *ROW).unionByName(exact.select("win_id", *ROW))
+        near = near_matches(docs, tests).select("win_id", *ROW).unionByName(exact.select("win_id", *ROW))
         lists = ((exact, "items"), (proximity_matches(tests, index, terms, slop), "proximity_items"), (near, "near_items"))
         kept += [staged(_hits(exact), "hits"), *(staged(_items(matches, tests, name), name) for matches, name in lists)]
     return _with_found(docs, kept).withColumn("near", F.size("near_items") > 0)
@@ -249,7 +249,7 @@ def near_documents(docs: DataFrame, items: DataFrame, window: int = 10) -> DataF
     with scratch() as kept:
         tests = build_tests(items, window)
         index = build_index(docs, tests)
-        found = phrase_matches(tests, index).select(*ROW).unionByName(near_matches(docs, tests, index).select(*ROW))
+        found = phrase_matches(tests, index).select(*ROW).unionByName(near_matches(docs, tests).select(*ROW))
         kept.append(staged(found.distinct(), "contaminated"))
     return kept[0]
 
