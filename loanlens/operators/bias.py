@@ -17,11 +17,15 @@ def deviations(marks: DataFrame, least: int = 3) -> DataFrame:
     own = marks.groupBy(*ISSUE, "manager").agg(F.median("mark").alias("mark"))
     issue = Window.partitionBy(*ISSUE)
     ranked = own.withColumn("k", F.count(F.lit(1)).over(issue)).filter(F.col("k") >= least).withColumn("rn", F.row_number().over(issue.orderBy("mark", "manager")))
-    sorted_marks = F.transform(F.array_sort(F.collect_list(F.struct("mark", "manager")).over(issue)), lambda s: s["mark"])
-    others = F.filter(F.col("all"), lambda v, j: j != F.col("rn") - 1)  # one occurrence by position, so equal marks stay
-    n = F.col("k") - 1
-    middle = (F.get("rest", F.floor((n - 1) / 2).cast("int")) + F.get("rest", F.floor(n / 2).cast("int"))) / 2
-    return ranked.withColumn("all", sorted_marks).withColumn("rest", others).select(*ISSUE, "manager", "mark", "k", ((F.col("mark") - middle) * 100).alias("dev"))
+    # without the mark of rank rn the j-th smallest is the one of rank j, or of j + 1 from rn on: three ranks around the
+    # middle hold every median of the others
+    low = F.floor(F.col("k") / 2)
+    at = lambda rank: F.max(F.when(F.col("rn") == rank, F.col("mark"))).over(issue)
+    held = ranked.withColumns({"m0": at(low), "m1": at(low + 1), "m2": at(low + 2), "low": low})
+    nth = lambda j, here, after: F.when(F.col("rn") > j, F.col(here)).otherwise(F.col(after))
+    one, two = nth(F.col("low"), "m0", "m1"), nth(F.col("low") + 1, "m1", "m2")
+    middle = F.when(F.col("k") % 2 == 0, one).otherwise((one + two) / 2)
+    return held.select(*ISSUE, "manager", "mark", "k", ((F.col("mark") - middle) * 100).alias("dev"))
 
 
 def manager_stats(dev: DataFrame, band: float = 1.0) -> DataFrame:
@@ -48,20 +52,23 @@ def sign_counts(dev: DataFrame, dead: float = 0.01) -> DataFrame:
 
 
 def upper_tail(n: int, least: int, p: float = 0.5) -> float:
-    """P(X >= least) of a binomial: summed up to 20,000 trials, beyond that normal with continuity correction."""
+    """P(X >= least) of a binomial. The tail that leaves the mode out is summed away from it until terms vanish, so some
+    multiple of sqrt(n) terms suffice at any n."""
     if least <= 0 or p >= 1:
         return 1.0
     if p <= 0 or least > n:
         return 0.0
-    if n > 20_000:
-        return 0.5 * math.erfc((least - 0.5 - n * p) / math.sqrt(2 * n * p * (1 - p)))
-    term = math.lgamma(n + 1) - math.lgamma(least + 1) - math.lgamma(n - least + 1) + least * math.log(p) + (n - least) * math.log1p(-p)
-    terms = []
-    for k in range(least, n + 1):
+    odds = math.log(p) - math.log1p(-p)
+    up = least > (n + 1) * p
+    k, step = (least, 1) if up else (least - 1, -1)
+    term = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    first, terms = term, []
+    while 0 <= k <= n and term > first - 45:
         terms.append(math.exp(term))
-        if k < n:
-            term += math.log((n - k) / (k + 1)) + math.log(p) - math.log1p(-p)
-    return min(1.0, math.fsum(terms))
+        term += math.log(n - k) - math.log(k + 1) + odds if up and k < n else math.log(k) - math.log(n - k + 1) - odds if not up and k else 0.0
+        k += step
+    tail = min(1.0, math.fsum(terms))
+    return tail if up else 1.0 - tail
 
 
 def median_ranks(n: int, level: float = 0.95) -> tuple[int, int]:

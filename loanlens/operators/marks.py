@@ -31,20 +31,18 @@ def with_price(df: DataFrame, bands: PriceBands = PriceBands()) -> DataFrame:
     return priced.withColumn("price", F.when((F.col("price") > 0) & (F.col("price") <= bands.ceiling), F.col("price")))
 
 
-def with_issue(df: DataFrame) -> DataFrame:
-    """Adds ibps: a holding without spread joins the only spread of its issuer, date and seniority, if there is just one."""
-    same = Window.partitionBy("issuer", "yr", "sen")
-    sole = F.when(F.min("bps").over(same) == F.max("bps").over(same), F.max("bps").over(same))
-    return df.withColumn("ibps", F.coalesce("bps", sole))
+# Instrument types that are no debt, and those that may be undrawn.
+EQUITY_TYPES = ("Equity", "Preferred", "Common Equity", "Warrant")
+UNFUNDED_TYPES = ("Revolver", "Delayed Draw Term Loan")
 
 
-def hold_class(instrument: Column, par: Column, commitment: Column) -> Column:
-    """equity, unfunded or debt, first that fits."""
-    equity = instrument.rlike(r"(?i)\b(equity|common|preferred|warrant|units?|shares?|interests?)\b")
-    return F.when(equity, "equity").when((F.coalesce(par, F.lit(0.0)) <= 0) & (F.coalesce(commitment, F.lit(0.0)) > 0), "unfunded").otherwise("debt")
+def hold_class(instrument_type: Column, price: Column) -> Column:
+    """equity by its type, unfunded by its type and for want of a price, else debt."""
+    return F.when(instrument_type.isin(*EQUITY_TYPES), "equity").when(price.isNull() & instrument_type.isin(*UNFUNDED_TYPES), "unfunded").otherwise("debt")
 
 
 def spread_bps(spread: Column) -> Column:
+    """Basis points to the nearest five, halves to even."""
     return (F.bround(spread * 10000 / 5) * 5).cast("int")
 
 
@@ -53,9 +51,28 @@ def maturity_year(text: Column) -> Column:
 
 
 def comparison_price(price: Column, klass: Column) -> Column:
+    """The price that may enter a comparison: of debt, 0.30 to 1.10; above that accrued interest is in the value."""
     return F.when((klass == "debt") & price.between(0.3, 1.10), price)
 
 
+def with_issue(df: DataFrame) -> DataFrame:
+    """Adds hold_class, cmp_price, mat_year and ibps to (issuer, yr, sen, bps, instrument_type, maturity, price). Only debt is
+    in an issue: a holding without spread joins the only spread that debt of its issuer, date and seniority has, if there is
+    just one. The spreads of a seniority are aggregated and joined, so no issuer is gathered in one place."""
+    klass = hold_class(F.col("instrument_type"), F.col("price"))
+    typed = df.withColumn("hold_class", klass).withColumn("cmp_price", comparison_price(F.col("price"), F.col("hold_class"))).withColumn("mat_year", maturity_year(F.col("maturity").cast("string")))
+    spreads = df.filter((klass == "debt") & F.col("bps").isNotNull()).groupBy(F.col("issuer").alias("i"), F.col("yr").alias("y"), F.col("sen").alias("s"))
+    sole = spreads.agg(F.min("bps").alias("lo"), F.max("bps").alias("hi")).filter("lo = hi").select("i", "y", "s", F.col("lo").alias("sole"))
+    same = F.col("issuer").eqNullSafe(F.col("i")) & F.col("yr").eqNullSafe(F.col("y")) & F.col("sen").eqNullSafe(F.col("s"))
+    joined = typed.join(sole, same & F.col("bps").isNull() & (F.col("hold_class") == "debt"), "left")
+    return joined.withColumn("ibps", F.when(F.col("hold_class") == "debt", F.coalesce("bps", "sole"))).drop("i", "y", "s", "sole")
+
+
+def issue_id(issuer: Column, sen: Column, ibps: Column, date: Column) -> Column:
+    text = lambda c, none: F.coalesce(c.cast("string"), F.lit(none))
+    return F.concat_ws("|", issuer, text(sen, "None"), text(ibps, "nospread"), date.cast("string"))
+
+
 def bucket(value: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
     """Right-closed buckets: edges[i] < value <= edges[i + 1]; outside all is null."""
     out = None
@@ -65,33 +82,39 @@ def bucket(value: Column, edges: Sequence[float], labels: Sequence[str]) -> Colu
     return out
 
 
-def fund_marks(matched: DataFrame) -> DataFrame:
-    """A fund's lots of an issue as one median mark."""
-    return matched.filter("price is not null").groupBy(*ISSUE, "fund").agg(
-        F.any_value("manager").alias("manager"), F.median("price").alias("mark"), F.count(F.lit(1)).alias("lots"), F.sum("fv").alias("fv")
+def _lots(matched: DataFrame) -> DataFrame:
+    """A fund's lots of an issue as one row; the mark is the median of their comparable prices."""
+    return matched.filter("hold_class = 'debt'").groupBy(*ISSUE, "fund").agg(
+        F.any_value("manager").alias("manager"), F.median("cmp_price").alias("mark"), F.count("cmp_price").alias("lots"),
+        F.sum(F.when(F.col("cmp_price").isNotNull(), F.col("fv"))).alias("fv"), F.collect_set("mat_year").alias("years"),
     )
 
 
-def issue_stats(marks: DataFrame, trim: float = 0.25) -> DataFrame:
-    """Holders and dispersion per issue; marks further than trim from the median leave the clean statistics."""
-    med = F.median("mark").over(Window.partitionBy(*ISSUE))
+def fund_marks(matched: DataFrame) -> DataFrame:
+    """A fund's lots of an issue as one median mark, of funds with a comparable price."""
+    return _lots(matched).filter("mark is not null").drop("years")
+
+
+def issue_stats(matched: DataFrame, trim: float = 0.25) -> DataFrame:
+    """Per issue: holders, priced or not; marks and their dispersion, without those further than trim from the median; the
+    maturities that holders state, which conflict if there are several."""
+    lots = _lots(matched)
+    med = F.median("mark").over(Window.partitionBy(*ISSUE))  # a row per fund
     clean = F.when(F.abs(F.col("mark") - F.col("med")) <= trim, F.col("mark"))
-    return marks.withColumn("med", med).groupBy(*ISSUE).agg(
-        F.count(F.lit(1)).alias("holders"), F.any_value("med").alias("med"), F.count(clean).alias("n_clean"), F.min(clean).alias("lo"), F.max(clean).alias("hi"),
-        F.stddev_samp(clean).alias("sd"), F.min("mark").alias("raw_lo"), F.max("mark").alias("raw_hi"),
+    years = F.array_sort(F.array_distinct(F.flatten(F.collect_list("years"))))
+    stats = lots.withColumn("med", med).groupBy(*ISSUE).agg(
+        F.count(F.lit(1)).alias("holders"), F.count("mark").alias("n_prices"), F.any_value("med").alias("med"), F.count(clean).alias("n_clean"),
+        F.min(clean).alias("lo"), F.max(clean).alias("hi"), F.stddev_samp(clean).alias("sd"), F.min("mark").alias("raw_lo"), F.max("mark").alias("raw_hi"), years.alias("years"),
     )
+    tier = confidence(F.col("holders"), F.col("sen"), F.col("ibps"), F.size("years") > 1)
+    return stats.withColumn("mat_conflict", F.size("years") > 1).withColumn("tier", tier).withColumn("years", F.nullif(F.array_join("years", ";"), F.lit("")))
 
 
-def confidence(holders: Column, sen: Column, bps: Column, years_conflict: Column | None = None) -> Column:
-    """High, Medium or Low. Unknown seniority is Medium at most, no spread is Low."""
-    conflict = F.coalesce(years_conflict, F.lit(False)) if years_conflict is not None else F.lit(False)
-    return F.when(holders < 2, "Single").when(bps.isNull(), "Low").when(sen.isNull() | conflict, "Medium").otherwise("High")
+def confidence(holders: Column, sen: Column, bps: Column, years_conflict: Column) -> Column:
+    """Single below two holders; High with spread, seniority, one maturity at most and no more than 15 holders; Medium with a
+    spread; else Low."""
+    return F.when(holders < 2, "Single").when(bps.isNotNull() & sen.isNotNull() & ~years_conflict & (holders <= 15), "High").when(bps.isNotNull(), "Medium").otherwise("Low")
 
 
 def stance(points: Column, band: float = 1.0) -> Column:
     return bucket(points, [float("-inf"), -band, band, float("inf")], ["Cheap", "In line", "Rich"])
-
-
-def joined_years(years: Column) -> Column:
-    """Distinct years as text; more than one of them is a conflict."""
-    return F.array_join(F.array_sort(F.collect_set(years)), ";")

@@ -2,11 +2,13 @@
 
 import math
 import os
+from fractions import Fraction
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from loanlens.operators import bias as B
 from loanlens.operators import marks as M
 from loanlens.operators import migration as G
 from loanlens.plans import registry
@@ -35,10 +37,46 @@ def test_buckets_are_right_closed(spark):
     assert {r.v: r.s for r in df.collect()}[85.0] == "Cheap"
 
 
+LOT = "issuer string, yr int, sen string, bps int, instrument_type string, maturity string, price double, fund int, manager int, fv double"
+
+
+def lot(issuer, bps, fund=1, sen="S", kind="Term Loan", maturity=None, price=0.98):
+    return (issuer, 1, sen, bps, kind, maturity, price, fund, fund, 1.0)
+
+
 def test_attach_rule(spark):
-    rows = [("a", 1, "S", 525), ("a", 1, "S", None), ("b", 1, "S", 500), ("b", 1, "S", 525), ("b", 1, "S", None), ("c", 1, None, 500), ("c", 1, None, None)]
-    out = M.with_issue(spark.createDataFrame(rows, "issuer string, yr int, sen string, bps int")).filter("bps is null").collect()
-    assert {r.issuer: r.ibps for r in out} == {"a": 525, "b": None, "c": 500}
+    rows = [lot("a", 525), lot("a", None), lot("b", 500), lot("b", 525), lot("b", None), lot("c", 500, sen=None), lot("c", None, sen=None)]
+    rows += [lot("d", 500, kind="Warrant"), lot("d", None), lot("e", 500), lot("e", 525, kind="Revolver", price=None), lot("e", None), lot("e", None, kind="Revolver", price=None)]
+    out = M.with_issue(spark.createDataFrame(rows, LOT))
+    got = {(r.issuer, r.hold_class): r.ibps for r in out.filter("bps is null").collect()}
+    # equity and undrawn lines neither give a spread nor get one
+    assert got == {("a", "debt"): 525, ("b", "debt"): None, ("c", "debt"): 500, ("d", "debt"): None, ("e", "debt"): 500, ("e", "unfunded"): None}
+    assert out.filter("hold_class = 'equity'").first().ibps is None and out.filter("hold_class <> 'debt' and cmp_price is not null").isEmpty()
+
+
+def test_confidence(spark):
+    rows = [lot("one", 500)] + [lot("two", 500, f) for f in (1, 2)] + [lot("fifteen", 500, f) for f in range(15)] + [lot("sixteen", 500, f) for f in range(16)]
+    rows += [lot("conflict", 500, f, maturity=m) for f, m in ((1, "2027"), (2, "June 2028"))] + [lot("agreed", 500, f, maturity=m) for f, m in ((1, "2027-01-01"), (2, "2027"), (3, None))]
+    rows += [lot("unknown", 500, f, sen=None) for f in (1, 2)] + [lot("bare", None, f) for f in (1, 2)] + [lot("unpriced", 500, 1), lot("unpriced", 500, 2, price=None), lot("unpriced", 500, 3, price=1.2)]
+    rows += [lot("undrawn", 500, 1), lot("undrawn", 500, 2, kind="Delayed Draw Term Loan", price=None)]
+    out = {r.issuer: r for r in M.issue_stats(M.with_issue(spark.createDataFrame(rows, LOT))).collect()}
+    want = {"one": "Single", "two": "High", "fifteen": "High", "sixteen": "Medium", "conflict": "Medium", "agreed": "High", "unknown": "Medium", "bare": "Low", "unpriced": "High", "undrawn": "Single"}
+    assert {i: r.tier for i, r in out.items()} == want
+    assert out["conflict"].years == "2027;2028" and out["agreed"].years == "2027" and out["one"].years is None
+    # holders without a comparable price are holders
+    assert out["unpriced"].holders == 3 and out["unpriced"].n_prices == 1
+
+
+def test_sign_test_tail_is_exact():
+    for n, least in ((1, 1), (7, 2), (20, 20), (20_001, 10_150), (50_000, 25_300), (50_000, 24_900)):
+        exact = sum(math.comb(n, k) for k in range(least, n + 1)) if n < 100 else None
+        if exact is None:
+            term, total = math.comb(n, least), 0
+            for k in range(least, n + 1):
+                total += term
+                term = term * (n - k) // (k + 1)
+            exact = total
+        assert abs(B.upper_tail(n, least) / float(Fraction(exact, 2**n)) - 1) < 1e-9
 
 
 def test_chained_return(spark):
