@@ -243,18 +243,18 @@ def derived(record: DataFrame) -> DataFrame:
     """Adds the metrics that follow from a flat record; a missing input or a zero divisor leaves them null."""
     c = F.col
     return record.withColumns({
-        "leverage_ratio": ratio(c("total_debt"), c("total_net_assets")), "net_debt": c("total_debt") - c("cash"),
+        "leverage_ratio": ratio(c("total_debt"), c("total_net_assets")), "net_debt": c("total_debt") - c("cash_and_equivalents"),
         "asset_coverage": ratio(c("total_assets") - (c("total_liabilities") - c("total_debt")), c("total_debt")),
-        "portfolio_mark": ratio(c("investments_fv"), c("investments_cost")), "pik_income_ratio": ratio(c("pik_interest_income"), c("total_investment_income")),
-        "distribution_coverage": ratio(c("net_investment_income"), c("distributions")), "liquidity_coverage": ratio(c("cash") + c("undrawn"), c("unfunded")),
-        "return_of_capital_pct": ratio(c("return_of_capital"), F.abs(c("distributions"))),
+        "portfolio_mark": ratio(c("investments_at_fair_value"), c("investments_at_cost")), "pik_income_ratio": ratio(c("pik_interest_income"), c("total_investment_income")),
+        "distribution_coverage": ratio(c("net_investment_income"), c("distributions_declared")), "liquidity_coverage": ratio(c("cash_and_equivalents") + c("undrawn"), c("unfunded")),
+        "return_of_capital_pct": ratio(c("return_of_capital"), F.abs(c("distributions_declared"))),
     })
 
 
 def calculated(record: DataFrame, holdings: DataFrame, key: list[str], levels: tuple[str, ...] = ("level_1", "level_2", "level_3", "at_nav")) -> DataFrame:
-    """record with fair values by level, fv_total, yield, cost_of_debt and investments_fv, holdings with fair_value: adds each
+    """record with fair values by level, fv_total, yield, weighted_avg_interest_rate and investments_at_fair_value, holdings with fair_value: adds each
     level's share of the total, the spread of yield over cost of debt, and the holdings' sum over the record's investments."""
     held = holdings.groupBy(*key).agg(F.sum("fair_value").alias("__held"))
     shares = {f"{name}_pct": ratio(F.col(name), F.col("fv_total")) for name in levels}
-    more = {"net_spread": F.col("yield") - F.col("cost_of_debt"), "holdings_over_tagged": ratio(F.col("__held"), F.col("investments_fv"))}
+    more = {"net_spread": F.col("yield") - F.col("weighted_avg_interest_rate"), "holdings_over_tagged": ratio(F.col("__held"), F.col("investments_at_fair_value"))}
     return record.join(held, key, "left").withColumns(shares | more).drop("__held")

@@ -47,10 +47,10 @@ def field_facts(facts: DataFrame, filings: DataFrame) -> DataFrame:
 def _with_tax(found: DataFrame) -> DataFrame:
     """Current plus deferred tax replaces a tax that is missing or smaller in size."""
     at = lambda name: F.max(F.when(F.col("field") == name, F.col("value")))
-    taxes = found.filter(F.col("field").isin("income_tax", "current_tax", "deferred_tax")).groupBy("accession_no").agg(at("income_tax").alias("t"), at("current_tax").alias("c"), at("deferred_tax").alias("d"))
+    taxes = found.filter(F.col("field").isin("income_tax_expense", "current_tax", "deferred_tax")).groupBy("accession_no").agg(at("income_tax_expense").alias("t"), at("current_tax").alias("c"), at("deferred_tax").alias("d"))
     total = larger_split(F.col("t"), F.col("c"), F.col("d"))
     split = taxes.filter(~total.eqNullSafe(F.col("t"))).select(
-        "accession_no", F.lit("income_tax").alias("field"), total.alias("value"), F.lit("xbrl").alias("source"), F.lit(0.95).alias("confidence"), F.lit("Current + Deferred income tax").alias("raw_text")
+        "accession_no", F.lit("income_tax_expense").alias("field"), total.alias("value"), F.lit("xbrl").alias("source"), F.lit(0.95).alias("confidence"), F.lit("Current + Deferred income tax").alias("raw_text")
     )
     rest = found.filter(~F.col("field").isin("current_tax", "deferred_tax")).join(split.select("accession_no", "field"), ["accession_no", "field"], "left_anti")
     return rest.select(*LONG).unionByName(split)
@@ -71,7 +71,7 @@ def records(facts: DataFrame, filings: DataFrame, unfunded: DataFrame | None = N
     period, derived metrics, checks and status. unfunded (accession_no, unfunded) comes from the schedule of investments."""
     long = field_facts(facts, filings)
     wide = long.groupBy("accession_no").pivot("field", [*NAMES, "undrawn"]).agg(F.first("value"))
-    by_level = X.levels(facts, filings, wide.select("accession_no", F.col("investments_fv").alias("total")))
+    by_level = X.levels(facts, filings, wide.select("accession_no", F.col("investments_at_fair_value").alias("total")))
     starts = period_starts(facts, filings)
     equity = _of(concept_table(facts.sparkSession), "instant").filter("field = 'total_net_assets'")
     opening = X.instants_at(facts, starts.select("accession_no", F.date_sub("period_start", 1).alias("at")), equity).select("accession_no", F.col("value").alias("opening_net_assets"))
@@ -80,5 +80,5 @@ def records(facts: DataFrame, filings: DataFrame, unfunded: DataFrame | None = N
     for part in (by_level, starts, opening, unfunded if unfunded is not None else none):
         out = out.join(part, "accession_no", "left")
     levelled = F.coalesce(*[F.col(c) for c in X.LEVELS.values()]).isNotNull()
-    out = out.withColumn("fv_total", F.when(levelled, F.col("investments_fv"))).withColumn("closing_net_assets", F.col("total_net_assets"))
+    out = out.withColumn("fv_total", F.when(levelled, F.col("investments_at_fair_value"))).withColumn("closing_net_assets", F.col("total_net_assets"))
     return validated(X.derived(out), record_checks())

@@ -46,14 +46,14 @@ def record_checks(levels: list[str] = ["level_1", "level_2", "level_3", "at_nav"
     zero = lambda name: F.coalesce(c(name), F.lit(0.0))
     total = lambda names: sum((zero(n) for n in names[1:]), zero(names[0]))
     any_of = lambda names: F.coalesce(*[c(n) for n in names])
-    fees = fees or ["management_fee", "incentive_fee", "interest_expense", "administrative_fees", "professional_fees", "other_expenses", "trustee_fees", "financing_amortisation"]
-    assets, net, tii, nii, expenses, tax = c("total_assets"), c("total_net_assets"), c("total_investment_income"), c("net_investment_income"), c("total_expenses"), zero("income_tax")
+    fees = fees or ["management_fee", "incentive_fee", "interest_expense", "administrative_fees", "professional_fees", "other_g_and_a", "director_trustee_fees", "amortization_of_financing_costs"]
+    assets, net, tii, nii, expenses, tax = c("total_assets"), c("total_net_assets"), c("total_investment_income"), c("net_investment_income"), c("total_expenses"), zero("income_tax_expense")
     off = F.least(F.abs(tii - expenses - nii), F.abs(tii - expenses - tax - nii), F.abs(c("nii_after_expense_and_tax") - nii), F.abs(c("income_before_tax") - tax - nii))
-    gap = tii - c("interest_income") - c("dividend_income") - c("other_income")
+    gap = tii - c("interest_income") - c("dividend_income") - c("other_investment_income")
     pik = F.greatest(c("pik_interest_income") + zero("pik_dividend_income"), zero("pik_income_combined"))
-    op, fin, change = c("cash_operating"), c("cash_financing"), c("cash_change")
-    foots = op + zero("cash_investing") + fin + zero("cash_fx") - change
-    up, down, unrealised = c("tax_appreciation"), c("tax_depreciation"), c("tax_unrealised_net")
+    op, fin, change = c("net_cash_operating"), c("net_cash_financing"), c("net_change_in_cash")
+    foots = op + zero("net_cash_investing") + fin + zero("effect_of_fx") - change
+    up, down, unrealised = c("tax_unrealized_appreciation"), c("tax_unrealized_depreciation"), c("tax_unrealized_net")
     positive = F.when(net > 0, net)
     return [
         balance(assets, c("total_liabilities"), net),

@@ -56,8 +56,8 @@ def e17_calculated(spark, sf):
     """Orders as records: levels by return flag, the lines as holdings."""
     li, price = table(spark, sf, "lineitem"), F.col("l_extendedprice")
     at = lambda flag: F.sum(F.when(F.col("l_returnflag") == flag, price))
-    levels = li.groupBy("l_orderkey").agg(at("A").alias("level_1"), at("N").alias("level_2"), at("R").alias("level_3"), F.sum(price).alias("fv_total"), F.max("l_tax").alias("yield"), F.min("l_discount").alias("cost_of_debt"))
-    record = levels.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("investments_fv")), "l_orderkey")
+    levels = li.groupBy("l_orderkey").agg(at("A").alias("level_1"), at("N").alias("level_2"), at("R").alias("level_3"), F.sum(price).alias("fv_total"), F.max("l_tax").alias("yield"), F.min("l_discount").alias("weighted_avg_interest_rate"))
+    record = levels.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("investments_at_fair_value")), "l_orderkey")
     out = T.calculated(record, li.select("l_orderkey", price.alias("fair_value")), ["l_orderkey"], ("level_1", "level_2", "level_3"))
     return out.select("l_orderkey", *[R(c).alias(c) for c in ("level_1_pct", "level_2_pct", "level_3_pct", "net_spread", "holdings_over_tagged")])
 

@@ -106,10 +106,10 @@ def test_schedule_scale_and_summary(spark, filings):
 
 RECORD = [
     "total_assets", "total_liabilities", "total_net_assets", "liabilities_and_equity", "level_1", "level_2", "level_3", "at_nav", "fv_total", "total_investment_income",
-    "net_investment_income", "total_expenses", "income_tax", "nii_after_expense_and_tax", "income_before_tax", "interest_income", "dividend_income", "other_income",
-    "pik_interest_income", "pik_dividend_income", "pik_income_combined", "cash_operating", "cash_financing", "cash_change", "cash_investing", "cash_fx", "tax_appreciation",
-    "tax_depreciation", "tax_unrealised_net", "asset_coverage", "leverage_ratio", "undrawn", "management_fee", "incentive_fee", "interest_expense", "administrative_fees",
-    "professional_fees", "other_expenses", "trustee_fees", "financing_amortisation",
+    "net_investment_income", "total_expenses", "income_tax_expense", "nii_after_expense_and_tax", "income_before_tax", "interest_income", "dividend_income", "other_investment_income",
+    "pik_interest_income", "pik_dividend_income", "pik_income_combined", "net_cash_operating", "net_cash_financing", "net_change_in_cash", "net_cash_investing", "effect_of_fx", "tax_unrealized_appreciation",
+    "tax_unrealized_depreciation", "tax_unrealized_net", "asset_coverage", "leverage_ratio", "undrawn", "management_fee", "incentive_fee", "interest_expense", "administrative_fees",
+    "professional_fees", "other_g_and_a", "director_trustee_fees", "amortization_of_financing_costs",
 ]
 
 
@@ -118,13 +118,13 @@ RECORD = [
     [
         ({"total_assets": 1e6, "total_liabilities": 4e5, "total_net_assets": 600500.0}, "C1", "pass"), ({"total_assets": 1e6, "total_liabilities": 4e5, "total_net_assets": 602000.0}, "C1", "fail"),
         ({"total_assets": 1e6}, "C1", "skipped"), ({"fv_total": 5e6, "level_1": 2e6, "at_nav": 3e6}, "C4", "pass"), ({"fv_total": 5e6}, "C4", "skipped"),
-        ({"total_investment_income": 1e6, "total_expenses": 4e5, "income_tax": 1e5, "net_investment_income": 5e5}, "C5", "pass"),
+        ({"total_investment_income": 1e6, "total_expenses": 4e5, "income_tax_expense": 1e5, "net_investment_income": 5e5}, "C5", "pass"),
         ({"total_investment_income": 1e6, "total_expenses": 4e5, "net_investment_income": 7e5}, "C5", "fail"),
-        ({"total_investment_income": 1e6, "interest_income": 8e5, "dividend_income": 0.0, "other_income": 0.0, "pik_interest_income": 2e5}, "C7", "pass"),
-        ({"total_investment_income": 1e6, "interest_income": 7e5, "dividend_income": 0.0, "other_income": 0.0, "pik_interest_income": 2e5}, "C7", "fail"),
-        ({"cash_operating": -5e6, "cash_financing": 6e6, "cash_change": 1e6}, "C9", "pass"), ({"cash_operating": -5e6, "cash_financing": 6e6, "cash_change": 2e6}, "C9", "fail"),
+        ({"total_investment_income": 1e6, "interest_income": 8e5, "dividend_income": 0.0, "other_investment_income": 0.0, "pik_interest_income": 2e5}, "C7", "pass"),
+        ({"total_investment_income": 1e6, "interest_income": 7e5, "dividend_income": 0.0, "other_investment_income": 0.0, "pik_interest_income": 2e5}, "C7", "fail"),
+        ({"net_cash_operating": -5e6, "net_cash_financing": 6e6, "net_change_in_cash": 1e6}, "C9", "pass"), ({"net_cash_operating": -5e6, "net_cash_financing": 6e6, "net_change_in_cash": 2e6}, "C9", "fail"),
         ({"undrawn": -1.0}, "C8", "fail"), ({"undrawn": 5.0}, "C8", "pass"), ({"total_net_assets": 10.0, "management_fee": 6.0}, "C10", "fail"), ({"total_net_assets": -1.0, "management_fee": 6.0}, "C10", "skipped"),
-        ({"tax_appreciation": 1e5, "tax_depreciation": 3e4, "tax_unrealised_net": -7e4}, "C11", "pass"), ({"leverage_ratio": 2.1}, "I2", "fail"), ({"asset_coverage": 1.5}, "I1", "pass"),
+        ({"tax_unrealized_appreciation": 1e5, "tax_unrealized_depreciation": 3e4, "tax_unrealized_net": -7e4}, "C11", "pass"), ({"leverage_ratio": 2.1}, "I2", "fail"), ({"asset_coverage": 1.5}, "I1", "pass"),
     ],
 )
 def test_record_checks(spark, values, rule, status):

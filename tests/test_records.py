@@ -8,7 +8,7 @@ from loanlens.functions.concepts import FIELDS
 from loanlens.operators import facts as X
 from loanlens.operators import records as R
 
-from test_facts import Facts
+from tests.test_facts import Facts
 
 START, END = dt.date(2025, 1, 1), dt.date(2025, 12, 31)
 
@@ -38,10 +38,10 @@ def tagged():
 def test_field_facts(spark, filings, tagged):
     got = {r.field: (r.value, r.confidence) for r in R.field_facts(tagged.frame(spark), filings).filter("accession_no = 'a'").collect()}
     assert got["total_net_assets"] == (6e5, 0.98)  # not the last candidate, which has the wrong sign
-    assert got["cash"] == (5e4, 0.95) and got["total_debt"] == (3e5, 0.95)  # sums stand in
-    assert got["income_tax"] == (1e4, 0.95) and "current_tax" not in got
-    assert got["shares_issued"] == (15.0, 0.93) and got["expense_ratio"] == (0.02, 0.98) and got["undrawn"] == (5e4, 0.97)
-    assert got["distributions"] == (5e4, 0.97)
+    assert got["cash_and_equivalents"] == (5e4, 0.95) and got["total_debt"] == (3e5, 0.95)  # sums stand in
+    assert got["income_tax_expense"] == (1e4, 0.95) and "current_tax" not in got
+    assert got["shares_issued_new"] == (15.0, 0.93) and got["expense_ratio"] == (0.02, 0.98) and got["undrawn"] == (5e4, 0.97)
+    assert got["distributions_declared"] == (5e4, 0.97)
 
 
 def test_records(spark, filings, tagged):
