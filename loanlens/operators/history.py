@@ -7,29 +7,57 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 
-def issuer_series(priced: DataFrame, least_funds: int = 3, least_dates: int = 3) -> DataFrame:
-    """(issuer, yr, mark, funds): the median mark where enough funds report, of issuers seen on enough dates."""
-    series = priced.filter("price is not null").groupBy("issuer", "yr").agg(F.median("price").alias("mark"), F.count_distinct("fund").alias("funds")).filter(F.col("funds") >= least_funds)
+
+def medians(rows: DataFrame, keys: Sequence[str], value: str, width: float = 0.001) -> DataFrame:
+    """rows, staged -> (*keys, value): the exact median. Counts in cells of `width` tell in which cell of a key its middle
+    values lie; only the rows of these cells are ranked. So a key with any number of rows is never sorted in one place."""
+    celled = rows.select(*keys, F.col(value).alias("v"), F.floor(F.col(value) / width).alias("cell"))
+    counts = celled.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy(*keys)  # a row per cell
+    middle = counts.withColumn("upto", F.sum("n").over(by.orderBy("cell"))).withColumn("total", F.sum("n").over(by))
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    cells = middle.withColumn("low", low).withColumn("high", high).filter("upto >= low and upto - n < high")
+    cells = cells.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("cell").alias("__cell"), (F.col("upto") - F.col("n")).alias("before"), "low", "high")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("cell") == F.col("__cell")]
+    rank = F.col("before") + F.row_number().over(Window.partitionBy(*keys, "cell").orderBy("v"))
+    ranked = celled.join(cells, same).withColumn("rank", rank).filter("rank = low or rank = high")
+    return ranked.groupBy(*keys).agg(((F.min("v") + F.max("v")) / 2).alias(value))
+
+
+def issuer_series(marks: DataFrame, least_funds: int = 3, least_dates: int = 3) -> DataFrame:
+    """marks (issuer, yr, fund, mark), staged -> (issuer, yr, mark, funds): the median mark where enough funds report, of
+    issuers seen on enough dates."""
+    known = marks.filter("mark is not null")
+    funds = known.groupBy("issuer", "yr").agg(F.count_distinct("fund").alias("funds")).filter(F.col("funds") >= least_funds)
+    series = medians(known, ["issuer", "yr"], "mark").join(funds, ["issuer", "yr"])
     return series.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("issuer"))).filter(F.col("n") >= least_dates).drop("n")
 
 
 def trend(series: DataFrame) -> DataFrame:
-    """First, last, peak, trough, range and net change of each series, in points of par."""
-    return series.groupBy("issuer").agg(
-        F.count(F.lit(1)).alias("dates"), (F.min_by("mark", "yr") * 100).alias("first"), (F.max_by("mark", "yr") * 100).alias("last"),
-        (F.max("mark") * 100).alias("peak"), (F.min("mark") * 100).alias("trough"),
-    ).withColumn("range", F.col("peak") - F.col("trough")).withColumn("net", F.col("last") - F.col("first"))
+    """Of each series: the first and last date observed, marks and funds at both, peak, trough, range and net change, in points
+    of par."""
+    ends = {f"{c}_{end}": f(c, "yr") for c in ("mark", "funds") for end, f in (("first", F.min_by), ("last", F.max_by))}
+    out = series.groupBy("issuer").agg(
+        F.count(F.lit(1)).alias("dates"), F.min("yr").alias("first_obs"), F.max("yr").alias("last_obs"), (ends["mark_first"] * 100).alias("first"), (ends["mark_last"] * 100).alias("last"),
+        (F.max("mark") * 100).alias("peak"), (F.min("mark") * 100).alias("trough"), ends["funds_first"].alias("funds_at_first"), ends["funds_last"].alias("funds_at_last"),
+    )
+    return out.withColumn("range", F.col("peak") - F.col("trough")).withColumn("net", F.col("last") - F.col("first"))
 
 
 def owner_positions(priced: DataFrame) -> DataFrame:
-    """(issuer, fund, yr): fair value, mark, share of the issuer's and of the fund's total, seniorities held."""
+    """(issuer, fund, yr): fair value, mark, share of the issuer's and of the fund's total, seniorities held. Totals are
+    aggregated and joined back, so no issuer or fund is gathered in one place."""
     own = priced.groupBy("issuer", "fund", "yr").agg(
         F.sum("fv").alias("fv"), F.median("price").alias("mark"), F.count(F.lit(1)).alias("lots"), F.nullif(F.array_join(F.array_sort(F.collect_set("sen")), "; "), F.lit("")).alias("seniorities")
     )
-    issuer, fund = Window.partitionBy("issuer", "yr"), Window.partitionBy("fund", "yr")
-    return own.withColumn("of_issuer", F.col("fv") / F.nullif(F.sum("fv").over(issuer), F.lit(0.0))).withColumn(
-        "of_fund", F.col("fv") / F.nullif(F.sum("fv").over(fund), F.lit(0.0))).withColumn("funds", F.count(F.lit(1)).over(issuer))
+    own = staged(own, "positions")
+    issuers = own.groupBy("issuer", "yr").agg(F.sum("fv").alias("issuer_fv"), F.count(F.lit(1)).alias("funds"))
+    funds = own.groupBy("fund", "yr").agg(F.sum("fv").alias("fund_fv"))
+    share = lambda total: F.col("fv") / F.nullif(total, F.lit(0.0))
+    joined = own.join(issuers, ["issuer", "yr"]).join(funds, ["fund", "yr"])
+    return joined.withColumn("of_issuer", share("issuer_fv")).withColumn("of_fund", share("fund_fv")).drop("issuer_fv", "fund_fv")
 
 
 def tenure(priced: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from ..functions.steps import step as _step
 from ..sources.staging import staged
 from .graph import components
 
@@ -63,12 +64,6 @@ def first_label(text: Column, ladder: list[tuple[str, str]]) -> Column:
     return out
 
 
-def _step(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns behind a generator of one row: the optimiser would otherwise copy each expression into all its uses, and
-    with a dozen steps on top of each other into the filters above them."""
-    return df.select("*", F.inline(F.array(F.struct(*columns.values()))).alias(*columns))
-
-
 def parse(df: DataFrame, raw: str = "issuer") -> DataFrame:
     """Adds issuer_name, instrument_text, parse_ok, issuer_norm, seniority and instrument_type. All in built-in functions.
 

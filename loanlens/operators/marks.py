@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.steps import step
+
 
 @dataclass(frozen=True)
 class PriceBands:
@@ -27,7 +29,7 @@ def with_price(df: DataFrame, bands: PriceBands = PriceBands()) -> DataFrame:
     overhang = F.coalesce((F.col("par") > 0) & (F.col("cost") > 0) & (F.col("par") > bands.overhang * F.col("cost")), F.lit(False))
     basis = F.when(by_par.between(*bands.par) & ~overhang, "par").when(by_cost.between(*bands.cost), "cost").when(by_par.between(*bands.par), "par")
     price = F.when(F.col("basis") == "par", by_par).when(F.col("basis") == "cost", by_cost)
-    priced = df.withColumn("basis", basis).withColumn("price", price)
+    priced = step(step(df, basis=basis), price=price)
     return priced.withColumn("price", F.when((F.col("price") > 0) & (F.col("price") <= bands.ceiling), F.col("price")))
 
 
@@ -59,9 +61,9 @@ def with_issue(df: DataFrame) -> DataFrame:
     """Adds hold_class, cmp_price, mat_year and ibps to (issuer, yr, sen, bps, instrument_type, maturity, price). Only debt is
     in an issue: a holding without spread joins the only spread that debt of its issuer, date and seniority has, if there is
     just one. The spreads of a seniority are aggregated and joined, so no issuer is gathered in one place."""
-    klass = hold_class(F.col("instrument_type"), F.col("price"))
-    typed = df.withColumn("hold_class", klass).withColumn("cmp_price", comparison_price(F.col("price"), F.col("hold_class"))).withColumn("mat_year", maturity_year(F.col("maturity").cast("string")))
-    spreads = df.filter((klass == "debt") & F.col("bps").isNotNull()).groupBy(F.col("issuer").alias("i"), F.col("yr").alias("y"), F.col("sen").alias("s"))
+    typed = step(df, hold_class=hold_class(F.col("instrument_type"), F.col("price")), mat_year=maturity_year(F.col("maturity").cast("string")))
+    typed = typed.withColumn("cmp_price", comparison_price(F.col("price"), F.col("hold_class")))
+    spreads = typed.filter((F.col("hold_class") == "debt") & F.col("bps").isNotNull()).groupBy(F.col("issuer").alias("i"), F.col("yr").alias("y"), F.col("sen").alias("s"))
     sole = spreads.agg(F.min("bps").alias("lo"), F.max("bps").alias("hi")).filter("lo = hi").select("i", "y", "s", F.col("lo").alias("sole"))
     same = F.col("issuer").eqNullSafe(F.col("i")) & F.col("yr").eqNullSafe(F.col("y")) & F.col("sen").eqNullSafe(F.col("s"))
     joined = typed.join(sole, same & F.col("bps").isNull() & (F.col("hold_class") == "debt"), "left")
@@ -83,16 +85,25 @@ def bucket(value: Column, edges: Sequence[float], labels: Sequence[str]) -> Colu
 
 
 def _lots(matched: DataFrame) -> DataFrame:
-    """A fund's lots of an issue as one row; the mark is the median of their comparable prices."""
-    return matched.filter("hold_class = 'debt'").groupBy(*ISSUE, "fund").agg(
-        F.any_value("manager").alias("manager"), F.median("cmp_price").alias("mark"), F.count("cmp_price").alias("lots"),
-        F.sum(F.when(F.col("cmp_price").isNotNull(), F.col("fv"))).alias("fv"), F.collect_set("mat_year").alias("years"),
+    """A fund's lots of an issue as one row; the mark is the median of their comparable prices. Up to two prices it lies
+    between the least and the largest, which a hash aggregate holds; only the few others gather their prices."""
+    keys = [*ISSUE, "fund"]
+    debt = matched.filter("hold_class = 'debt'").select(*keys, "manager", "cmp_price", "fv")
+    ends = debt.groupBy(*keys).agg(
+        F.any_value("manager").alias("manager"), F.min("cmp_price").alias("lo"), F.max("cmp_price").alias("hi"), F.count("cmp_price").alias("lots"),
+        F.sum(F.when(F.col("cmp_price").isNotNull(), F.col("fv"))).alias("fv"),
     )
+    other = [F.col(k).alias(f"__{k}") for k in keys]
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    several = ends.filter("lots > 2").select(*other)
+    medians = debt.join(several, same, "left_semi").groupBy(*other).agg(F.median("cmp_price").alias("__mark"))
+    joined = ends.join(medians, same, "left")
+    return joined.select(*keys, "manager", F.coalesce("__mark", (F.col("lo") + F.col("hi")) / 2).alias("mark"), "lots", "fv")
 
 
 def fund_marks(matched: DataFrame) -> DataFrame:
     """A fund's lots of an issue as one median mark, of funds with a comparable price."""
-    return _lots(matched).filter("mark is not null").drop("years")
+    return _lots(matched).filter("mark is not null")
 
 
 def issue_stats(matched: DataFrame, trim: float = 0.25) -> DataFrame:
@@ -101,11 +112,14 @@ def issue_stats(matched: DataFrame, trim: float = 0.25) -> DataFrame:
     lots = _lots(matched)
     med = F.median("mark").over(Window.partitionBy(*ISSUE))  # a row per fund
     clean = F.when(F.abs(F.col("mark") - F.col("med")) <= trim, F.col("mark"))
-    years = F.array_sort(F.array_distinct(F.flatten(F.collect_list("years"))))
     stats = lots.withColumn("med", med).groupBy(*ISSUE).agg(
         F.count(F.lit(1)).alias("holders"), F.count("mark").alias("n_prices"), F.any_value("med").alias("med"), F.count(clean).alias("n_clean"),
-        F.min(clean).alias("lo"), F.max(clean).alias("hi"), F.stddev_samp(clean).alias("sd"), F.min("mark").alias("raw_lo"), F.max("mark").alias("raw_hi"), years.alias("years"),
+        F.min(clean).alias("lo"), F.max(clean).alias("hi"), F.stddev_samp(clean).alias("sd"), F.min("mark").alias("raw_lo"), F.max("mark").alias("raw_hi"),
     )
+    stated = matched.filter("hold_class = 'debt' and mat_year is not null").select(*ISSUE, "mat_year").distinct()
+    years = stated.groupBy(*[F.col(c).alias(f"__{c}") for c in ISSUE]).agg(F.array_sort(F.collect_list("mat_year")).alias("years"))
+    stats = stats.join(years, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ISSUE], "left").drop(*[f"__{c}" for c in ISSUE])
+    stats = stats.withColumn("years", F.coalesce("years", F.array().cast("array<int>")))
     tier = confidence(F.col("holders"), F.col("sen"), F.col("ibps"), F.size("years") > 1)
     return stats.withColumn("mat_conflict", F.size("years") > 1).withColumn("tier", tier).withColumn("years", F.nullif(F.array_join("years", ";"), F.lit("")))
 

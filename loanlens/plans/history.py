@@ -8,21 +8,28 @@ from pyspark.sql import functions as F
 from ..functions.numbers import rounded as R
 from ..operators import history as H
 from ..operators.marks import with_price
+from ..sources.staging import staged
 from ..sources.tables import HOLDINGS_SQL, holdings
+from .marks import marks
 
-YEARS = (1996, 1997, 1998)
+YEARS = tuple(range(1995, 2002))
 
 
 def priced(spark, sf):
     return with_price(holdings(spark, sf))
 
 
+def series(spark, sf):
+    return H.issuer_series(staged(marks(spark, sf).select("issuer", "yr", "fund", "mark"), "marks"))
+
+
 def a05_issuer_series(spark, sf):
-    return H.issuer_series(priced(spark, sf)).select("issuer", "yr", R("mark").alias("mark"), "funds")
+    return series(spark, sf).select("issuer", "yr", R("mark").alias("mark"), "funds")
 
 
 def a07_trend(spark, sf):
-    return H.trend(H.issuer_series(priced(spark, sf))).select("issuer", "dates", *[R(c, 4).alias(c) for c in ("first", "last", "peak", "trough", "range", "net")])
+    points = [R(c, 4).alias(c) for c in ("first", "last", "peak", "trough", "range", "net")]
+    return H.trend(series(spark, sf)).select("issuer", "dates", "first_obs", "last_obs", "funds_at_first", "funds_at_last", *points)
 
 
 def p14_decliners(spark, sf):
@@ -59,9 +66,9 @@ def w05_first_last_mark(spark, sf):
 
 QUERIES = {f.__name__: f for f in (a05_issuer_series, a07_trend, p14_decliners, a08_owner_positions, a09_tenure, j16_stable_holders, o09_wide_history, w05_first_last_mark)}
 
-_W = "WITH " + HOLDINGS_SQL + """, s AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY issuer) AS n FROM (SELECT issuer, yr, median(price) AS mark, count(DISTINCT fund) AS funds FROM p WHERE price IS NOT NULL GROUP BY ALL HAVING count(DISTINCT fund) >= 3)) WHERE n >= 3),
-t AS (SELECT issuer, count(*) AS dates, arg_min(mark, yr) * 100 AS first, arg_max(mark, yr) * 100 AS last, max(mark) * 100 AS peak, min(mark) * 100 AS trough FROM s GROUP BY issuer),
-t4 AS (SELECT issuer, dates, round(first, 4) AS first, round(last, 4) AS last, round(peak, 4) AS peak, round(trough, 4) AS trough, round(peak - trough, 4) AS range, round(last - first, 4) AS net FROM t),
+_W = "WITH " + HOLDINGS_SQL + """, s AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY issuer) AS n FROM (SELECT issuer, yr, median(mark) AS mark, count(DISTINCT fund) AS funds FROM fm GROUP BY ALL HAVING count(DISTINCT fund) >= 3)) WHERE n >= 3),
+t AS (SELECT issuer, count(*) AS dates, min(yr) AS first_obs, max(yr) AS last_obs, arg_min(funds, yr) AS funds_at_first, arg_max(funds, yr) AS funds_at_last, arg_min(mark, yr) * 100 AS first, arg_max(mark, yr) * 100 AS last, max(mark) * 100 AS peak, min(mark) * 100 AS trough FROM s GROUP BY issuer),
+t4 AS (SELECT issuer, dates, first_obs, last_obs, funds_at_first, funds_at_last, round(first, 4) AS first, round(last, 4) AS last, round(peak, 4) AS peak, round(trough, 4) AS trough, round(peak - trough, 4) AS range, round(last - first, 4) AS net FROM t),
 o AS (SELECT issuer, fund, yr, median(price) AS mark FROM p WHERE price IS NOT NULL GROUP BY ALL)"""
 SQL = {
     "a05_issuer_series": _W + " SELECT issuer, yr, round(mark, 6) AS mark, funds FROM s",

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded as R
 from ..operators import marks as M
+from ..sources.staging import staged
 from ..sources.tables import HOLDINGS_SQL, holdings
 
 
 
 def matched(spark: SparkSession, sf: str) -> DataFrame:
-    return M.with_issue(M.with_price(holdings(spark, sf)))
+    """Written once: every table of marks reads it, some more than once."""
+    return staged(M.with_issue(M.with_price(holdings(spark, sf))), "matched")
 
 
 def marks(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +67,8 @@ def a12_issuer_summary(spark, sf):
 
 def a13_coverage(spark, sf):
     """Match rate of priced debt, issues by holders, and the bands of the range of comparable issues of three holders."""
-    s, r = stats(spark, sf), F.round((F.col("hi") - F.col("lo")) * 100, 6)
+    m = matched(spark, sf)
+    s, r = staged(M.issue_stats(m), "issues"), F.round((F.col("hi") - F.col("lo")) * 100, 6)
     good = F.col("tier").isin("High", "Medium")
     ranged = good & (F.col("holders") >= 3) & (F.col("n_clean") >= 2)
     bands = {"tight": r < 2, "moderate": (r >= 2) & (r < 5), "wide": (r >= 5) & (r < 10), "very_wide": (r >= 10) & (r < 25), "extreme": r >= 25}
@@ -75,14 +78,15 @@ def a13_coverage(spark, sf):
     )
     ids = s.filter(good & (F.col("holders") >= 2)).select(*[F.col(c).alias(f"_{c}") for c in M.ISSUE])
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in M.ISSUE]
-    lots = matched(spark, sf).filter("cmp_price is not null").join(ids, same, "left").agg(F.count(F.lit(1)).alias("priced_debt"), F.count("_issuer").alias("matched"))
+    lots = m.filter("cmp_price is not null").join(ids, same, "left").agg(F.count(F.lit(1)).alias("priced_debt"), F.count("_issuer").alias("matched"))
     both = counts.crossJoin(lots)  # one row each
     return both.withColumn("match_rate", R(100 * F.col("matched") / F.col("priced_debt"), 1))
 
 
 def j05_stance(spark, sf):
     """Each fund's mark against the issue's median, in points of par."""
-    joined = marks(spark, sf).alias("f").join(stats(spark, sf).alias("i"), [F.col(f"f.{c}").eqNullSafe(F.col(f"i.{c}")) for c in M.ISSUE])
+    m = matched(spark, sf)
+    joined = M.fund_marks(m).alias("f").join(M.issue_stats(m).alias("i"), [F.col(f"f.{c}").eqNullSafe(F.col(f"i.{c}")) for c in M.ISSUE])
     points = F.round((F.col("f.mark") - F.col("i.med")) * 100, 6)
     return joined.filter("i.holders >= 2").withColumn("stance", M.stance(points)).groupBy("f.manager", "stance").agg(F.count(F.lit(1)).alias("n"), R(F.sum(points), 3).alias("points"))
 

@@ -10,14 +10,15 @@ from ..functions import text as X
 from ..operators import bias as B
 from ..operators import rules as V
 from ..operators import survival as S
-from ..operators.marks import ISSUE, fund_marks, with_issue, with_price
-from ..sources.tables import HOLDINGS_SQL, holdings, table
+from ..operators.marks import ISSUE
+from ..sources.tables import HOLDINGS_SQL, table
+from .marks import marks
 
 TODAY = "2001-06-30"
 
 
 def deviations(spark, sf):
-    return B.deviations(fund_marks(with_issue(with_price(holdings(spark, sf)))))
+    return B.deviations(marks(spark, sf))
 
 
 def w02_leave_one_out(spark, sf):
