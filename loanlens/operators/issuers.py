@@ -137,13 +137,15 @@ def similarity(a: Column | str, b: Column | str) -> Column:
     return ratio(a, b)
 
 
-def core_pairs(cores: DataFrame, threshold: float = 92.0, largest: int = 1500) -> DataFrame:
+def core_pairs(cores: DataFrame, threshold: float = 92.0, largest: int | None = 1500) -> DataFrame:
     """cores (core), distinct -> (a, b, score) of cores that share a word and are at least threshold alike.
 
-    A word that more than `largest` cores hold links nothing, which bounds each block. The length bound
+    A word that more than `largest` cores hold links nothing, which bounds each block; None lets every word link, at a cost
+    that grows with the square of its cores. The length bound
     200 * shorter / both >= threshold is exact and is tested before any text is compared."""
     words = cores.select("core", F.explode(F.array_distinct(F.split("core", " "))).alias("word"), F.length("core").alias("n"))
-    sizes = words.groupBy("word").count().filter(F.col("count").between(2, largest)).select("word")
+    counts = words.groupBy("word").count().filter("count > 1")
+    sizes = (counts if largest is None else counts.filter(F.col("count") <= largest)).select("word")
     blocks = words.join(sizes, "word")
     x, y = blocks.alias("x"), blocks.alias("y")
     near = (F.col("x.word") == F.col("y.word")) & (F.col("x.core") < F.col("y.core")) & (200.0 * F.least("x.n", "y.n") >= threshold * (F.col("x.n") + F.col("y.n")))
@@ -151,7 +153,7 @@ def core_pairs(cores: DataFrame, threshold: float = 92.0, largest: int = 1500) -
     return pairs.withColumn("score", similarity("a", "b")).filter(F.col("score") >= threshold)
 
 
-def clusters(names: DataFrame, threshold: float = 92.0, largest: int = 1500) -> DataFrame:
+def clusters(names: DataFrame, threshold: float = 92.0, largest: int | None = 1500) -> DataFrame:
     """names (norm, rows), norm distinct -> (norm, issuer_cluster). Equal cores are one cluster, then similar cores; names
     without a core stay alone. A cluster's name has the fewest words, then the most rows, then comes first."""
     keyed = staged(names.select("norm", "rows", core(F.col("norm")).alias("core")), "cores")

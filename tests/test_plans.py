@@ -7,6 +7,7 @@ import pytest
 
 from loanlens.operators import bias as B
 from loanlens.operators import history as H
+from loanlens.operators import issuers as I
 from loanlens.operators import overlap as O
 
 
@@ -52,3 +53,9 @@ def test_deviations_without_gathering(spark):
         for r in own:
             want[yr, r[4]] = pytest.approx((r[5] - pd.Series([x[5] for x in own if x[4] != r[4]]).median()) * 100)
     assert want == got
+
+
+def test_words_of_many_names(spark):
+    cores = spark.createDataFrame([(f"alpha holding{i % 4} group{i}",) for i in range(12)] + [("alpha holding1 group1x",)], "core string")
+    pairs = lambda largest: {tuple(r) for r in I.core_pairs(cores, 85.0, largest).collect()}
+    assert pairs(13) == pairs(None) and pairs(None) and pairs(1) == set() and pairs(12) < pairs(None)
