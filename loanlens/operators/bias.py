@@ -12,8 +12,8 @@ from .marks import ISSUE
 
 
 def deviations(marks: DataFrame, least: int = 3) -> DataFrame:
-    """marks (issue, manager, mark) -> one mark per manager and issue and, in points, its distance from the median of the
-    other managers; only issues with at least `least` managers."""
+    """marks (issue, manager, mark) -> one mark per manager and issue, in points its distance from the median of the other
+    managers, and the median of all; only issues with at least `least` managers."""
     own = marks.groupBy(*ISSUE, "manager").agg(F.median("mark").alias("mark"))
     issue = Window.partitionBy(*ISSUE)
     ranked = own.withColumn("k", F.count(F.lit(1)).over(issue)).filter(F.col("k") >= least).withColumn("rn", F.row_number().over(issue.orderBy("mark", "manager")))
@@ -25,14 +25,18 @@ def deviations(marks: DataFrame, least: int = 3) -> DataFrame:
     nth = lambda j, here, after: F.when(F.col("rn") > j, F.col(here)).otherwise(F.col(after))
     one, two = nth(F.col("low"), "m0", "m1"), nth(F.col("low") + 1, "m1", "m2")
     middle = F.when(F.col("k") % 2 == 0, one).otherwise((one + two) / 2)
-    return held.select(*ISSUE, "manager", "mark", "k", ((F.col("mark") - middle) * 100).alias("dev"))
+    consensus = F.when(F.col("k") % 2 == 1, F.col("m1")).otherwise((F.col("m0") + F.col("m1")) / 2)
+    return held.select(*ISSUE, "manager", "mark", "k", ((F.col("mark") - middle) * 100).alias("dev"), consensus.alias("consensus"))
 
 
-def manager_stats(dev: DataFrame, band: float = 1.0) -> DataFrame:
+def manager_stats(dev: DataFrame, band: float = 1.0, distressed: float = 0.9) -> DataFrame:
+    """Per manager: issues, dates, median and mean deviation, the shares above, within and below the band, and the median
+    without issues whose consensus is below `distressed` (null if none is left)."""
     d = F.round("dev", 6)
+    sound = F.round("consensus", 9) >= distressed
     return dev.groupBy("manager").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("yr").alias("dates"), F.median("dev").alias("median"), F.avg("dev").alias("mean"), F.avg((d > band).cast("int")).alias("rich"),
-        F.avg(((d > -band) & (d <= band)).cast("int")).alias("in_line"), F.avg((d <= -band).cast("int")).alias("cheap"),
+        F.avg((F.abs(d) <= band).cast("int")).alias("in_line"), F.avg((d < -band).cast("int")).alias("cheap"), F.median(F.when(sound, F.col("dev"))).alias("median_sound"),
     )
 
 

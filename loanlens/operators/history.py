@@ -64,6 +64,26 @@ def tenure(priced: DataFrame) -> DataFrame:
     return priced.groupBy("issuer", "fund").agg(F.min("yr").alias("since"), F.max("yr").alias("until"), F.count_distinct("yr").alias("dates"))
 
 
+def holder_rollup(positions: DataFrame) -> DataFrame:
+    """positions of one date -> per issuer: holders, their total value and how far apart their marks are, in points (null with
+    fewer than two marks)."""
+    apart = F.when(F.count("mark") >= 2, (F.max("mark") - F.min("mark")) * 100)
+    return positions.groupBy("issuer").agg(F.count_distinct("fund").alias("holders"), F.sum("fv").alias("exposure"), apart.alias("apart"))
+
+
+def owners(positions: DataFrame, ranked: DataFrame, tenures: DataFrame, change: DataFrame, now: int, then: int) -> DataFrame:
+    """The holders at date `now` of the ranked issuers, beside their tenure, the issuer's roll-up, the holder's mark and the
+    issuer's value at `then` and the last change of the holders that stayed. positions: as from owner_positions; ranked and
+    change hold a row per issuer."""
+    at = lambda d: positions.filter(F.col("yr") == d)
+    past = at(then).select("issuer", "fund", F.col("mark").alias("mark_then"))
+    exposure = at(then).groupBy("issuer").agg(F.sum("fv").alias("exposure_then"))
+    own = at(now).join(ranked, "issuer").join(tenures, ["issuer", "fund"], "left").join(holder_rollup(at(now)), "issuer", "left")
+    # the value at `then` stands only beside a holder of that date
+    past = past.join(exposure, "issuer")
+    return own.join(past, ["issuer", "fund"], "left").join(change, "issuer", "left")
+
+
 def stable_holder_change(priced: DataFrame) -> DataFrame:
     """Between an issuer's last two dates: holders kept, new and gone, and the change of the mark by those that stayed."""
     own = priced.filter("price is not null").groupBy("issuer", "fund", "yr").agg(F.median("price").alias("mark"))

@@ -50,19 +50,59 @@ def usable(checked: DataFrame, w: Window2) -> DataFrame:
     return checked.filter(F.col("yr").isin(w.start, w.end)).groupBy("fund").agg(F.count_if("reconciles").alias("n")).filter("n = 2").select("fund")
 
 
-def matrix(p: DataFrame, w: Window2) -> DataFrame:
-    """Start bucket x end bucket (and EXITED): $ at start; missing cells are 0."""
+def matrix(p: DataFrame, w: Window2, counts: bool = False) -> DataFrame:
+    """Start bucket x end bucket (and EXITED): $ at start, or the pairs counted; missing cells are 0."""
     end = F.when(F.col("status") == "exited", "EXITED").otherwise(F.col("end_bucket"))
     rows = p.filter("status != 'entered' and start_bucket is not null").withColumn("to", end)
-    return rows.groupBy("start_bucket").pivot("to", [*w.labels, "EXITED"]).agg(F.sum("start_fv")).na.fill(0.0)
+    return rows.groupBy("start_bucket").pivot("to", [*w.labels, "EXITED"]).agg(F.count(F.lit(1)) if counts else F.sum("start_fv")).na.fill(0)
 
 
-def fund_migration(p: DataFrame) -> DataFrame:
+def fund_migration(p: DataFrame, checked: DataFrame, w: Window2) -> DataFrame:
+    """A row per fund: what migrated, exited, entered and stayed; start_0, start_1, ... and end_0, ...: the percentage in each
+    bucket, in the order of w.labels. Percentages are of the fund's tagged total at that date (null without one), never of its
+    own sum, so they need not add up to 100; coverage tells how much was priced. checked: as from reconciliation."""
     s = F.col("status")
-    return p.groupBy("fund").agg(
+    held = {f"{end}_{k}": F.sum(F.when(F.col(f"{end}_bucket") == label, F.col(f"{end}_fv"))) for end in ("start", "end") for k, label in enumerate(w.labels)}
+    own = p.groupBy("fund").agg(
         F.sum("start_fv").alias("start_fv"), F.sum(F.when(F.col("migrated"), F.col("start_fv"))).alias("migrated_fv"), F.count_if("migrated").alias("migrated_n"),
         F.sum(F.when(s == "exited", F.col("start_fv"))).alias("exited_fv"), F.count_if(s == "exited").alias("exited_n"), F.count_if(s == "entered").alias("entered_n"),
+        F.count_if(s == "both").alias("both_n"), *[F.coalesce(x, F.lit(0.0)).alias(c) for c, x in held.items()],
     )
+    at = lambda d, c: F.max(F.when(F.col("yr") == d, F.col(c)))
+    ends = checked.filter(F.col("yr").isin(w.start, w.end)).groupBy("fund").agg(
+        *[at(d, c).alias(f"{end}_{n}") for d, end in ((w.start, "start"), (w.end, "end")) for c, n in (("total", "total"), ("ratio", "coverage"))],
+        (F.count_if("reconciles") == 2).alias("usable"),
+    )
+    of = lambda x, end: 100 * F.col(x) / F.nullif(f"{end}_total", F.lit(0.0))
+    out = own.join(ends, "fund", "left").withColumns({c: of(c, c.split("_")[0]) for c in held})
+    return out.withColumn("migrated_pct", of("migrated_fv", "start")).withColumn("usable", F.coalesce("usable", F.lit(False)))
+
+
+def issuer_impact(p: DataFrame, funds: DataFrame) -> DataFrame:
+    """Per issuer, over the pairs kept by the given (usable) funds: change of the mark weighted by start value and by start
+    par, sums, weighted marks, the share of all start value and the points by which the issuer moved the whole."""
+    kept = p.filter("status = 'both'").join(funds, "fund", "left_semi")
+    total = kept.agg(F.sum("start_fv").alias("universe"))  # one row
+    change = F.col("end_mark") - F.col("start_mark")
+    mean = lambda x, c: F.sum(x * F.col(c)) / F.sum(c)
+    rows = kept.groupBy("issuer").agg(
+        F.count(F.lit(1)).alias("funds"), mean(change, "start_fv").alias("change"), F.when(F.sum("start_par") > 0, mean(change, "start_par")).alias("par_change"),
+        mean(F.col("start_mark"), "start_fv").alias("mark_at_start"), mean(F.col("end_mark"), "start_fv").alias("mark_at_end"),
+        F.sum("start_fv").alias("fv_at_start"), F.sum("end_fv").alias("fv_at_end"), F.sum("start_par").alias("par_at_start"),
+    ).filter("fv_at_start > 0")
+    shared = rows.crossJoin(F.broadcast(total)).withColumn("universe_share", F.col("fv_at_start") / F.col("universe"))
+    return shared.withColumn("contribution", F.col("universe_share") * F.col("change")).drop("universe")
+
+
+def cohort(p: DataFrame, funds: DataFrame) -> DataFrame:
+    """One row: the migrated pairs of the given funds against all that they kept."""
+    kept, hit = p.filter("status = 'both'").join(funds, "fund", "left_semi"), F.col("migrated")
+    sums = kept.agg(
+        F.sum("start_fv").alias("all_at_start"), F.sum("end_fv").alias("all_at_end"), F.count_distinct(F.when(hit, F.col("issuer"))).alias("issuers"), F.count_if(hit).alias("pairs"),
+        F.sum(F.when(hit, F.col("start_fv"))).alias("at_start"), F.sum(F.when(hit, F.col("end_fv"))).alias("at_end"),
+        F.sum(F.when(hit, (F.col("end_mark") - F.col("start_mark")) * F.col("start_fv"))).alias("moved"),
+    )
+    return sums.withColumn("share", F.col("at_start") / F.nullif("all_at_start", F.lit(0.0))).withColumn("change", F.col("moved") / F.nullif("at_start", F.lit(0.0))).drop("moved")
 
 
 def attribution(p: DataFrame) -> DataFrame:
@@ -78,6 +118,17 @@ def fund_drag(a: DataFrame) -> DataFrame:
         "migrated_share", F.when(F.abs("drag") > 1e-9, F.col("migrated_drag") / F.col("drag")))
 
 
+def manager_rollup(drags: DataFrame, migrated: DataFrame, managers: DataFrame) -> DataFrame:
+    """drags (fund_drag) of usable funds beside what migrated in them (fund_migration), by managers (fund, manager): funds,
+    start value, weighted drag, migrated and exited."""
+    own = migrated.filter("usable").select("fund", "migrated_fv", "migrated_n", "exited_fv")
+    used = drags.join(migrated.filter("usable").select("fund"), "fund", "left_semi").join(own, "fund", "left").join(managers, "fund")
+    return used.groupBy("manager").agg(
+        F.count_distinct("fund").alias("funds"), F.sum("fv").alias("start_fv"), (F.sum(F.col("drag") * F.col("fv")) / F.nullif(F.sum("fv"), F.lit(0.0))).alias("drag"),
+        F.coalesce(F.sum("migrated_fv"), F.lit(0.0)).alias("migrated_fv"), F.coalesce(F.sum("migrated_n"), F.lit(0)).alias("migrated_n"), F.coalesce(F.sum("exited_fv"), F.lit(0.0)).alias("exited_fv"),
+    )
+
+
 def concentration(a: DataFrame, share: float = 0.8) -> DataFrame:
     """How few names make up `share` of a fund's losses, and the three largest."""
     loss = a.filter("drag < 0").withColumn("loss", -F.col("drag"))

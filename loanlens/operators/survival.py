@@ -19,12 +19,17 @@ def census(births: DataFrame, deaths: DataFrame, today: str) -> DataFrame:
 
 
 def yearly(c: DataFrame, first: int, last: int) -> DataFrame:
-    """Births, deaths, net and active entities for every year of the range."""
+    """Births, deaths, net, active entities and churn for every year of the range. Entities whose birth was not seen are active
+    from before it; churn is the deaths of a year per entity active at its start, 0 if there was none."""
     spine = c.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias("year"))
     born = c.groupBy(F.year("born").alias("year")).agg(F.count(F.lit(1)).alias("births"))
     died = c.groupBy(F.year("died").alias("year")).agg(F.count(F.lit(1)).alias("deaths"))
     flow = spine.join(born, "year", "left").join(died, "year", "left").na.fill(0)
-    return flow.withColumn("net", F.col("births") - F.col("deaths")).withColumn("active", F.sum("net").over(Window.orderBy("year")))  # a row per year
+    stock = c.agg(F.count_if("left_censored").alias("stock"))  # one row
+    flow = flow.withColumn("net", F.col("births") - F.col("deaths")).crossJoin(F.broadcast(stock))
+    flow = flow.withColumn("active", F.col("stock") + F.sum("net").over(Window.orderBy("year")))  # a row per year
+    before = F.col("active") - F.col("net")
+    return flow.withColumn("churn", F.when(before != 0, F.col("deaths") / before).otherwise(0.0)).drop("stock")
 
 
 def kaplan_meier(c: DataFrame) -> DataFrame:

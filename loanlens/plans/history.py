@@ -13,6 +13,7 @@ from ..sources.tables import HOLDINGS_SQL, holdings
 from .marks import marks
 
 YEARS = tuple(range(1995, 2002))
+NOW, THEN = 2000, 1998
 
 
 def priced(spark, sf):
@@ -50,6 +51,17 @@ def j16_stable_holders(spark, sf):
     return H.stable_holder_change(priced(spark, sf)).select("issuer", "stayed", "came", "left", R("change", 4).alias("change"))
 
 
+def a11_holder_rollup(spark, sf):
+    rolled = H.holder_rollup(a08_owner_positions(spark, sf).filter(f"yr = {NOW}"))
+    return rolled.select("issuer", "holders", R("exposure", 4).alias("exposure"), R("apart", 4).alias("apart"))
+
+
+def j04_owners(spark, sf):
+    found = H.owners(a08_owner_positions(spark, sf), p14_decliners(spark, sf), a09_tenure(spark, sf), j16_stable_holders(spark, sf), NOW, THEN)
+    sums = [R(c, 4).alias(c) for c in ("exposure", "exposure_then")]
+    return found.select("rank", "issuer", "fund", "net", "fv", "mark", "since", "until", "holders", R("apart", 4).alias("apart"), "mark_then", *sums, "stayed", "came", "left", "change")
+
+
 def o09_wide_history(spark, sf):
     wide = H.wide_history(priced(spark, sf), YEARS)
     return wide.select("issuer", "fund", *[R(f"{y}_{c}", 4).alias(f"{c}_{y}") for y in YEARS for c in ("mark", "fv")])
@@ -64,7 +76,7 @@ def w05_first_last_mark(spark, sf):
     )
 
 
-QUERIES = {f.__name__: f for f in (a05_issuer_series, a07_trend, p14_decliners, a08_owner_positions, a09_tenure, j16_stable_holders, o09_wide_history, w05_first_last_mark)}
+QUERIES = {f.__name__: f for f in (a05_issuer_series, a07_trend, p14_decliners, a08_owner_positions, a09_tenure, j16_stable_holders, a11_holder_rollup, j04_owners, o09_wide_history, w05_first_last_mark)}
 
 _W = "WITH " + HOLDINGS_SQL + """, s AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY issuer) AS n FROM (SELECT issuer, yr, median(mark) AS mark, count(DISTINCT fund) AS funds FROM fm GROUP BY ALL HAVING count(DISTINCT fund) >= 3)) WHERE n >= 3),
 t AS (SELECT issuer, count(*) AS dates, min(yr) AS first_obs, max(yr) AS last_obs, arg_min(funds, yr) AS funds_at_first, arg_max(funds, yr) AS funds_at_last, arg_min(mark, yr) * 100 AS first, arg_max(mark, yr) * 100 AS last, max(mark) * 100 AS peak, min(mark) * 100 AS trough FROM s GROUP BY issuer),
@@ -85,3 +97,8 @@ SQL = {
     "w05_first_last_mark": _W + """ SELECT issuer, fund, round(arg_min(mark, yr), 6) AS first, round(arg_max(mark, yr), 6) AS last, max(yr) AS last_yr, max(yr - prev) AS longest_gap
  FROM (SELECT *, lag(yr) OVER (PARTITION BY issuer, fund ORDER BY yr) AS prev FROM o) GROUP BY ALL""",
 }
+_R = f"SELECT issuer, count(DISTINCT fund) AS holders, sum(fv) AS exposure, CASE WHEN count(mark) >= 2 THEN (max(mark) - min(mark)) * 100 END AS apart FROM ({SQL['a08_owner_positions']}) WHERE yr = {NOW} GROUP BY issuer"
+SQL["a11_holder_rollup"] = f"SELECT issuer, holders, round(exposure, 4) AS exposure, round(apart, 4) AS apart FROM ({_R})"
+SQL["j04_owners"] = f"""WITH a AS ({SQL['a08_owner_positions']}), x AS (SELECT issuer, fund, mark AS mark_then, sum(fv) OVER (PARTITION BY issuer) AS exposure_then FROM a WHERE yr = {THEN})
+SELECT rank, issuer, fund, net, fv, mark, since, until, holders, round(apart, 4) AS apart, mark_then, round(exposure, 4) AS exposure, round(exposure_then, 4) AS exposure_then, stayed, came, "left", change
+FROM a JOIN ({SQL['p14_decliners']}) USING (issuer) LEFT JOIN ({SQL['a09_tenure']}) USING (issuer, fund) LEFT JOIN ({_R}) USING (issuer) LEFT JOIN x USING (issuer, fund) LEFT JOIN ({SQL['j16_stable_holders']}) USING (issuer) WHERE yr = {NOW}"""

@@ -15,6 +15,7 @@ from ..sources.tables import HOLDINGS_SQL, table
 from .marks import marks
 
 TODAY = "2001-06-30"
+DISTRESSED = 0.9455
 
 
 def deviations(spark, sf):
@@ -26,7 +27,9 @@ def w02_leave_one_out(spark, sf):
 
 
 def a32_manager_stats(spark, sf):
-    return B.manager_stats(deviations(spark, sf)).select("manager", "n", "dates", *[R(c, 5).alias(c) for c in ("median", "mean", "rich", "in_line", "cheap")])
+    """The surrogate marks span 0.9 to 1, so distress begins higher."""
+    stats = B.manager_stats(deviations(spark, sf), distressed=DISTRESSED)
+    return stats.select("manager", "n", "dates", *[R(c, 5).alias(c) for c in ("median", "mean", "rich", "in_line", "cheap", "median_sound")])
 
 
 def m04_clustered_ols(spark, sf):
@@ -44,7 +47,7 @@ def j10_census(spark, sf):
 
 
 def a34_yearly(spark, sf):
-    return S.yearly(entities(spark, sf), 1995, 2001)
+    return S.yearly(entities(spark, sf), 1995, 2001).withColumn("churn", R("churn", 4))
 
 
 def a35_hazard(spark, sf):
@@ -103,18 +106,20 @@ QUERIES = {f.__name__: f for f in (w02_leave_one_out, a32_manager_stats, m04_clu
 
 _W = "WITH " + HOLDINGS_SQL + """, mm AS (SELECT issuer, yr, sen, ibps, manager, median(mark) AS mark FROM fm GROUP BY ALL),
 ml AS (SELECT *, count(*) OVER w AS k, row_number() OVER (PARTITION BY issuer, yr, sen, ibps ORDER BY mark, manager) AS rn, list(mark) OVER w AS marks FROM mm WINDOW w AS (PARTITION BY issuer, yr, sen, ibps)),
-dv AS (SELECT issuer, yr, sen, ibps, manager, k, mark, (mark - list_median(list_concat(list_slice(list_sort(marks), 1, rn - 1), list_slice(list_sort(marks), rn + 1, k)))) * 100 AS dev FROM ml WHERE k >= 3)"""
+dv AS (SELECT issuer, yr, sen, ibps, manager, k, mark, list_median(marks) AS consensus, (mark - list_median(list_concat(list_slice(list_sort(marks), 1, rn - 1), list_slice(list_sort(marks), rn + 1, k)))) * 100 AS dev FROM ml WHERE k >= 3)"""
 _C = """WITH o AS (SELECT o_custkey AS key, CAST(o_orderdate AS DATE) AS d FROM orders),
 c AS (SELECT coalesce(b.key, e.key) AS key, CASE WHEN born IS NOT NULL THEN 'first' ELSE 'last' END AS name, born, died, CASE WHEN died IS NULL THEN 'active' ELSE 'dead' END AS status, date_diff('day', born, coalesce(died, DATE '2001-06-30')) / 365.25 AS years, born IS NULL AS left_censored
  FROM (SELECT key, min(d) AS born FROM o WHERE key % 11 <> 0 GROUP BY key) b FULL JOIN (SELECT key, max(d) AS died FROM o GROUP BY key HAVING max(d) < DATE '2001-01-01') e ON b.key = e.key)"""
 SQL = {
     "w02_leave_one_out": _W + " SELECT issuer, yr, sen, ibps, manager, k, round(dev, 6) AS dev FROM dv",
     "a32_manager_stats": _W + """ SELECT manager, count(*) AS n, count(DISTINCT yr) AS dates, round(median(dev), 5) AS median, round(avg(dev), 5) AS mean, round(avg(CAST(round(dev, 6) > 1 AS INT)), 5) AS rich,
- round(avg(CAST(round(dev, 6) > -1 AND round(dev, 6) <= 1 AS INT)), 5) AS in_line, round(avg(CAST(round(dev, 6) <= -1 AS INT)), 5) AS cheap FROM dv GROUP BY manager""",
+ round(avg(CAST(abs(round(dev, 6)) <= 1 AS INT)), 5) AS in_line, round(avg(CAST(round(dev, 6) < -1 AS INT)), 5) AS cheap, round(median(dev) FILTER (round(consensus, 9) >= 0.9455), 5) AS median_sound FROM dv GROUP BY manager""",
     "m04_clustered_ols": _W + """, e AS (SELECT *, dev - avg(dev) OVER (PARTITION BY manager) AS r FROM dv), z AS (SELECT count(DISTINCT (issuer, yr, sen, ibps)) AS g, count(*) AS n, count(DISTINCT manager) AS k FROM dv)
  SELECT manager, count(*) AS n, round(avg(dev), 6) AS coef, round(sqrt(any_value(z.g / (z.g - 1) * (z.n - 1) / (z.n - z.k)) * sum(r * r)) / count(*), 6) AS se FROM e, z GROUP BY manager""",
     "j10_census": _C + " SELECT key, name, born, died, status, round(years, 4) AS years, left_censored FROM c",
-    "a34_yearly": _C + """ SELECT y AS year, births, deaths, births - deaths AS net, CAST(sum(births - deaths) OVER (ORDER BY y) AS BIGINT) AS active FROM (SELECT CAST(y AS INTEGER) AS y, (SELECT count(*) FROM c WHERE year(born) = y) AS births, (SELECT count(*) FROM c WHERE year(died) = y) AS deaths FROM range(1995, 2002) t(y))""",
+    "a34_yearly": _C + """, y AS (SELECT CAST(y AS INTEGER) AS year, (SELECT count(*) FROM c WHERE year(born) = y) AS births, (SELECT count(*) FROM c WHERE year(died) = y) AS deaths FROM range(1995, 2002) t(y)),
+ a AS (SELECT *, births - deaths AS net, CAST((SELECT count(*) FROM c WHERE born IS NULL) + sum(births - deaths) OVER (ORDER BY year) AS BIGINT) AS active FROM y)
+ SELECT *, CASE WHEN active - net <> 0 THEN round(deaths / (active - net), 4) ELSE 0.0 END AS churn FROM a""",
     "a35_hazard": _C + " SELECT count(*) FILTER (status = 'dead') AS deaths, round(sum(greatest(years, 0)), 3) AS entity_years, round(count(*) FILTER (status = 'dead') / sum(greatest(years, 0)), 6) AS hazard FROM c WHERE born IS NOT NULL",
     "m03_kaplan_meier": _C + """, k AS (SELECT CAST(floor(years) AS INTEGER) AS t, count(*) FILTER (status = 'dead') AS deaths, count(*) AS n FROM c WHERE born IS NOT NULL GROUP BY 1), r AS (SELECT *, CAST(sum(n) OVER (ORDER BY t DESC) AS BIGINT) AS at_risk FROM k)
  SELECT t, deaths, at_risk, round(CASE WHEN max(CAST(deaths = at_risk AS INT)) OVER (ORDER BY t) = 1 THEN 0 ELSE exp(sum(ln(CASE WHEN deaths < at_risk THEN 1 - deaths / at_risk ELSE 1 END)) OVER (ORDER BY t)) END, 6) AS survival FROM r""",

@@ -1,5 +1,6 @@
 """Literal cases of the operators, and every registered query against its SQL."""
 
+import datetime
 import math
 import os
 from fractions import Fraction
@@ -9,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from loanlens.operators import bias as B
+from loanlens.operators import history as H
 from loanlens.operators import marks as M
 from loanlens.operators import migration as G
+from loanlens.operators import survival as S
 from loanlens.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -109,3 +112,60 @@ def test_query_matches_sql(spark, name):
     names = [c[0] for c in r.description]
     assert sorted(names) == columns
     assert got == _norm([tuple(x[names.index(c)] for c in columns) for x in r.fetchall()])
+
+
+def test_migration_of_funds_and_issuers(spark):
+    w = G.Window2(1, 2)
+    rows = [  # fund, issuer, yr, price, par, fv
+        ("f", "a", 1, 0.99, 100.0, 60.0), ("f", "a", 2, 0.80, 100.0, 50.0), ("f", "b", 1, 0.97, 50.0, 20.0),
+        ("g", "a", 1, 0.96, 40.0, 40.0), ("g", "a", 2, 0.92, 40.0, 30.0), ("g", "c", 2, 0.99, 10.0, 10.0),
+    ]
+    panel = spark.createDataFrame(rows, "fund string, issuer string, yr int, price double, par double, fv double")
+    totals = spark.createDataFrame([("f", 1, 100.0), ("f", 2, 100.0), ("g", 1, 30.0)], "fund string, yr int, total double")
+    p, checked = G.pairs(panel, w), G.reconciliation(panel, totals)
+    got = {r.fund: r for r in G.fund_migration(p, checked, w).collect()}
+    f, g = got["f"], got["g"]
+    assert (f.migrated_fv, f.migrated_n, f.exited_fv, f.exited_n, f.both_n, f.usable) == (60.0, 1, 20.0, 1, 1, True)
+    assert (f.start_4, f.start_3, f.end_0, f.migrated_pct, f.start_coverage, f.end_coverage) == pytest.approx((60.0, 20.0, 50.0, 60.0, 0.8, 0.5))
+    # 40 of a total of 30 does not reconcile; without a total at the end there is no share
+    assert (g.usable, g.entered_n, g.end_2, g.end_coverage) == (False, 1, None, None) and g.start_3 == pytest.approx(400 / 3)
+    only = G.issuer_impact(p, G.usable(checked, w)).collect()
+    assert [(r.issuer, r.funds, r.universe_share) for r in only] == [("a", 1, 1.0)] and only[0].contribution == pytest.approx(-19)
+    both = G.issuer_impact(p, panel.select("fund").distinct()).first()
+    assert (both.funds, both.change, both.par_change) == (2, pytest.approx((-19 * 60 - 4 * 40) / 100), pytest.approx((-19 * 100 - 4 * 40) / 140))
+    assert tuple(G.cohort(p, panel.select("fund").distinct()).select("issuers", "pairs", "at_start", "share", "change").first()) == pytest.approx((1, 1, 60.0, 0.6, -19.0))
+    counts = {r.start_bucket: r.asDict() for r in G.matrix(p, w, counts=True).collect()}
+    assert (counts["98-100"]["<85"], counts["95-98"]["EXITED"], counts["95-98"]["90-95"], counts["95-98"]["<85"]) == (1, 1, 1, 0)
+    managers = spark.createDataFrame([("f", "m"), ("g", "m")], "fund string, manager string")
+    rolled = G.manager_rollup(G.fund_drag(G.attribution(p)), G.fund_migration(p, checked, w), managers).collect()
+    assert [(r.manager, r.funds, r.start_fv, r.migrated_fv, r.migrated_n, r.exited_fv) for r in rolled] == [("m", 1, 60.0, 60.0, 1, 20.0)]
+    none = panel.limit(0)
+    assert G.fund_migration(G.pairs(none, w), G.reconciliation(none, totals), w).count() == 0 and G.issuer_impact(G.pairs(none, w), managers).count() == 0
+
+
+def test_churn_counts_entities_whose_birth_was_not_seen(spark):
+    day = lambda y: datetime.date(y, 6, 1)
+    rows = [(day(2001), day(2002), False), (None, day(2001), True), (None, None, True), (None, day(2002), True)]
+    c = spark.createDataFrame(rows, "born date, died date, left_censored boolean")
+    got = [(r.year, r.births, r.deaths, r.active, round(r.churn, 4)) for r in S.yearly(c, 2000, 2003).orderBy("year").collect()]
+    assert got == [(2000, 0, 0, 3, 0.0), (2001, 1, 1, 3, 0.3333), (2002, 0, 2, 1, 0.6667), (2003, 0, 0, 1, 0.0)]
+    assert [(r.active, r.churn) for r in S.yearly(c.limit(0), 2000, 2000).collect()] == [(0, 0.0)]
+
+
+def test_manager_stats_at_the_edge_of_the_band(spark):
+    rows = [("m", 1, -1.0, 0.95), ("m", 1, 1.0, 0.95), ("m", 2, -3.0, 0.5), ("n", 1, 2.0, 0.5)]
+    dev = spark.createDataFrame(rows, "manager string, yr int, dev double, consensus double")
+    got = {r.manager: r for r in B.manager_stats(dev).collect()}
+    assert (got["m"].rich, got["m"].in_line, got["m"].cheap) == pytest.approx((0, 2 / 3, 1 / 3))
+    assert (got["m"].median, got["m"].median_sound, got["n"].median_sound) == (-1.0, 0.0, None)
+
+
+def test_owners(spark):
+    rows = [("i", "f", 2, 5.0, 0.9), ("i", "g", 2, 7.0, None), ("i", "f", 1, 4.0, 0.95), ("i", "h", 1, 2.0, 0.9), ("j", "f", 2, 1.0, 0.7), ("j", "g", 2, 1.0, 0.8)]
+    at = spark.createDataFrame(rows, "issuer string, fund string, yr int, fv double, mark double")
+    rolled = {r.issuer: (r.holders, r.exposure, r.apart) for r in H.holder_rollup(at.filter("yr = 2")).collect()}
+    assert rolled == {"i": (2, 12.0, None), "j": (2, 2.0, pytest.approx(10.0))}
+    ranked = spark.createDataFrame([("i", 1)], "issuer string, rank int")
+    change = spark.createDataFrame([("i", -5.0)], "issuer string, change double")
+    got = H.owners(at, ranked, H.tenure(at), change, 2, 1).orderBy("fund").collect()
+    assert [(r.fund, r.since, r.mark_then, r.exposure_then, r.holders, r.change) for r in got] == [("f", 1, 0.95, 6.0, 2, -5.0), ("g", 2, None, None, 2, -5.0)]
