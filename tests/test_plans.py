@@ -4,6 +4,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from loanlens.operators import bias as B
 from loanlens.operators import history as H
@@ -34,6 +35,39 @@ def test_fund_pairs_in_blocks(spark, monkeypatch):
     assert tuple(O.snapshot(sets).first()) == best
 
 
+def test_copies_of_funds_in_classes(spark, monkeypatch):
+    """Pairs are counted between classes of equal funds, whatever the number of copies, and no pairs of funds are joined or shuffled."""
+    rng = random.Random(4)
+    kinds = [(yr, e, rng.sample([f"e{x}" for x in range(14)], rng.randint(5, 9))) for yr in (1, 2) for e in range(9)]
+    rows = [(yr, 100 * c + k, e, 1.0 + len(e) + k % 3) for yr, k, own in kinds for c in range(6) for e in own]
+    rows += [(1, 50, e, 1.0) for e in ("e0", "e1", "e2", "e3", None)] + [(1, 51, f"only{x}", 1.0) for x in range(5)]
+    held = spark.createDataFrame(rows, "yr int, fund int, element string, weight double")
+    sets, fine = O.fund_sets(held).cache(), O.fund_sets(held.filter("fund % 100 < 7 and element not in ('e3', 'e4', 'e7')").withColumn("element", F.concat("element", F.lit("x"))), 3).cache()
+    plain = lambda s: {k: dict(zip(p.element, p.share)) for k, p in s.toPandas().groupby(["yr", "fund"])}
+    jac = lambda x, y: len((x.keys() & y.keys()) - {None}) / (len(x) + len(y) - len((x.keys() & y.keys()) - {None}))
+    coarse, small = plain(sets), plain(fine)
+    want, both, ways = {}, {}, {}
+    for yr, a in coarse:
+        for other, b in coarse:
+            x, y = coarse[yr, a], coarse[other, b]
+            if yr == other and a < b and jac(x, y):
+                want[yr, a, b] = (len(x), len(y), pytest.approx(sum(min(x[e], y[e]) for e in x.keys() & y.keys() if e)), pytest.approx(jac(x, y)))
+                both[yr, a, b] = (pytest.approx(jac(x, y)), pytest.approx(jac(small[yr, a], small[yr, b])) if (yr, a) in small and (yr, b) in small and jac(small[yr, a], small[yr, b]) else None)
+                for f, g in ((a, b), (b, a)):
+                    ways.setdefault((yr, f), []).append((-round(jac(x, y), 9), g, jac(x, y)))
+    summed = {k: (sum(j >= 0.5 for *_, j in v), min(v)[1], pytest.approx(max(j for *_, j in v)), pytest.approx(sum(j for *_, j in v) / len(v))) for k, v in ways.items()}
+    for funds, size, members in ((400, 1_000_000, 1000), (4, 1_000_000, 4), (2, 10, 3)):
+        for name, value in (("FUNDS", funds), ("ROWS", size), ("MEMBERS", members)):
+            monkeypatch.setattr(O, name, value)
+        pairs = O.fund_pairs(sets)
+        assert {(r.yr, r.a, r.b): (r.na, r.nb, r.weighted, r.jaccard) for r in pairs.collect()} == want
+        assert {(r.yr, r.a, r.b): (r.jaccard, r.fine_jaccard) for r in O.grain_pairs(sets, fine).collect()} == both
+        assert {(r.yr, r.fund): (r.partners, r.nearest, r.max_jaccard, r.mean_jaccard) for r in O.fund_summary(sets, 0.5).collect()} == summed
+        if members == 1000:
+            classes = O.fund_classes([sets], True)
+            assert classes.count() == len({(yr, k) for yr, k, _ in kinds}) + 2 and O.class_pairs([sets], classes, True).count() < len(want) / 20
+
+
 def test_medians(spark):
     rng = random.Random(5)
     rows = [(k, rng.choice([round(rng.random(), 3), rng.random(), 0.5])) for k in ("a", "b", None, "c") for _ in range(rng.randint(1, 60))] + [("one", 0.25)]
