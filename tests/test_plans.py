@@ -10,6 +10,7 @@ from loanlens.operators import bias as B
 from loanlens.operators import history as H
 from loanlens.operators import issuers as I
 from loanlens.operators import overlap as O
+from loanlens.sources import tables
 
 
 def test_fund_pairs_in_blocks(spark, monkeypatch):
@@ -68,6 +69,15 @@ def test_copies_of_funds_in_classes(spark, monkeypatch):
             assert classes.count() == len({(yr, k) for yr, k, _ in kinds}) + 2 and O.class_pairs([sets], classes, True).count() < len(want) / 20
 
 
+def test_line_items_are_not_shuffled_to_meet_few_parts(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = tables.holdings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
 def test_medians(spark):
     rng = random.Random(5)
     rows = [(k, rng.choice([round(rng.random(), 3), rng.random(), 0.5])) for k in ("a", "b", None, "c") for _ in range(rng.randint(1, 60))] + [("one", 0.25)]
