@@ -7,10 +7,11 @@ discloses is PMI(t; e) / IC(e) = 1 + log(n(t, e) / n(t)) / -log(n(e) / N), N bei
 at least `generalise` of it are spans of kind `term` wherever they stand in a document that holds the entity, and those of
 at least `remove` are cut out instead of generalised.
 
-Which terms are tried: those within `reach` code points of the entity in at least `support` documents (told by doc_id, or by
-text where it is null). An entity of a single document has no such term: one document tells nothing about co-occurrence,
-every rare word in it would count. `reach` keeps the unrelated rare words of a document that happens to exist in several
-versions out of the count; a wider one tries more terms and changes nothing else.
+Which terms are tried: all of every document that holds the entity, if they stand in at least `support` of these documents
+(told by doc_id, or by text where it is null). An entity of a single document has no such term: one document tells nothing
+about co-occurrence, every rare word in it would count. Entities of the same documents occur with the same terms, so they are
+counted once, as one group. A finite `reach` tries only the terms within so many code points of the entity, up to the next
+match of its kind; it changes nothing else.
 
 Defined results: a null text is empty; documents without entities get no spans; rows that repeat a doc_id are scanned each
 on their own and share term spans only if their texts are equal; rows with a null doc_id are told by their texts; of two
@@ -20,6 +21,7 @@ doc_id and text only; sanitise keeps any further columns, whatever their names.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,10 +42,10 @@ BROADCAST_ROWS = 200_000
 
 @dataclass(frozen=True)
 class Disclosure:
-    """reach: code points on either side of an entity where its terms are looked for. support: the least number of documents
-    in which a term stands there."""
+    """reach: code points on either side of an entity where its terms are looked for, without end by default: in the whole
+    document. support: the least number of documents in which a term stands there."""
 
-    reach: int = 48
+    reach: float = math.inf
     support: int = 2
     generalise: float = 0.9
     remove: float = 0.98
@@ -93,8 +95,10 @@ def entity_key(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), lower_ascii(value) if kind in ("email", "ip") else F.regexp_replace(value, "[^0-9]", ""))
 
 
-def scan(docs: DataFrame, reach: int) -> DataFrame:
-    """(doc_id, text_hash, n_words, entities): the base entities of every row, by kind and start, with what stands beside them."""
+def scan(docs: DataFrame, reach: float) -> DataFrame:
+    """(doc_id, text_hash, n_words, entities): the base entities of every row, by kind and start, with what stands beside them
+    if reach is finite."""
+    reach = 0 if math.isinf(reach) else int(reach)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("__t"))
     rows = rows.select("doc_id", "__t", *[located(F.col("__t"), p).alias(f"__{k}") for k, p in zip(KINDS, (EMAIL, IP, CARD, PHONE))])
@@ -145,25 +149,44 @@ def _other_row(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({c: "__" + c for c in ROW})
 
 
-def tried(docs: DataFrame, scanned: DataFrame, holders: DataFrame, rule: Disclosure) -> DataFrame:
-    """(key, term, n_t, carried): the pairs to count, with n(t) and IC(e). A pair is left out if t is so frequent in the
-    corpus that no number of occurrences in the documents of e could reach the threshold."""
-    near = beside(scanned.filter(F.size("entities") > 0)).withColumn("who", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), "text_hash")))
-    pairs = near.select("key", "term", "who").distinct().groupBy("key", "term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= rule.support)
-    pairs = staged(pairs.select("key", "term"), "pairs")
-    wanted = staged(pairs.select("term").distinct(), "terms")
+def _who() -> Column:
+    """What a row's document is told by."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), "text_hash")).alias("who")
+
+
+def carriers(scanned: DataFrame, holders: DataFrame, rule: Disclosure) -> DataFrame:
+    """(key, group, carried): the entities of `support` documents or more, with IC(e) and the group they are counted in. Those of
+    the same rows are one group (told by two 64-bit hashes of the rows); with a finite reach each is a group of its own."""
+    total = scanned.agg(F.greatest(F.sum("n_words"), F.lit(2)).alias("n"))
+    rows = [F.bit_xor(F.xxhash64(F.lit(seed), *ROW)).alias(f"rows{seed}") for seed in (1, 2)]
+    each = holders.withColumn("who", _who()).groupBy("key").agg(F.sum("times").alias("n_e"), F.count(F.lit(1)).alias("rows"), F.count_distinct("who").alias("n_who"), *rows)
+    carried = F.greatest(-F.log(F.least(F.col("n_e"), F.col("n") - 1) / F.col("n")), F.lit(1e-9))
+    group = F.concat_ws(":", "rows", "rows1", "rows2") if math.isinf(rule.reach) else F.col("key")
+    known = each.filter(F.col("n_who") >= rule.support).join(F.broadcast(total))  # total is one row
+    return known.select("key", group.alias("group"), carried.alias("carried"))
+
+
+def tried(scanned: DataFrame, own: DataFrame, found: DataFrame, rule: Disclosure) -> DataFrame:
+    """(group, term, n_te): the terms to test against each group, with their places in its documents. own: (doc_id, text_hash,
+    group); found: the places of all terms in them, each in so many equal rows (copies)."""
+    counts = _other_row(found.groupBy(*ROW, "term").agg(F.sum("copies").alias("n")))
+    each = own.join(counts, _same_row()).select("group", "term", _who(), "n").groupBy("group", "term", "who").agg(F.sum("n").alias("n"))
+    pairs = each.groupBy("group", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("n_who")).filter(F.col("n_who") >= rule.support)
+    if not math.isinf(rule.reach):
+        near = beside(scanned.filter(F.size("entities") > 0)).select(F.col("key").alias("group"), "term", _who()).distinct()
+        near = near.groupBy("group", "term").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= rule.support)
+        pairs = pairs.join(near, ["group", "term"], "left_semi")
+    return pairs.select("group", "term", "n_te")
+
+
+def occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, n_t): all occurrences in the corpus of the terms of wanted, a staged table."""
     n_wanted = wanted.count()
     tokens = docs.select(F.explode(F.regexp_extract_all(lower_ascii(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0))).alias("term"))
     if n_wanted <= BROADCAST_ROWS:
         tokens = tokens.join(F.broadcast(wanted), "term", "left_semi")
     n_t = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))  # counted where they are read, before any shuffle
-    if n_wanted > BROADCAST_ROWS:
-        n_t = n_t.join(wanted, "term", "left_semi")
-    n_e = holders.groupBy("key").agg(F.sum("times").alias("n_e"), F.sum("n_words").alias("words"))
-    total = scanned.agg(F.greatest(F.sum("n_words"), F.lit(2)).alias("n"))
-    carried = F.greatest(-F.log(F.least(F.col("n_e"), F.col("n") - 1) / F.col("n")), F.lit(1e-9))
-    known = pairs.join(n_t, "term").join(n_e, "key").join(F.broadcast(total)).withColumn("carried", carried)  # total is one row
-    return known.filter(F.col("n_t") * F.exp((F.lit(rule.generalise) - 1) * F.col("carried")) <= F.col("words")).select("key", "term", "n_t", "carried")
+    return n_t if n_wanted <= BROADCAST_ROWS else n_t.join(wanted, "term", "left_semi")
 
 
 def places(rows: DataFrame) -> DataFrame:
@@ -179,28 +202,28 @@ def places(rows: DataFrame) -> DataFrame:
 def revealing(docs: DataFrame, scanned: DataFrame, rule: Disclosure) -> DataFrame:
     """(doc_id, text_hash, start, end, disclosed): every place of a term in a document that holds an entity of which the term
     discloses at least `generalise`."""
-    each = scanned.select(*ROW, "n_words", F.explode("entities.key").alias("key"))
-    holders = staged(each.groupBy(*ROW, "key").agg(F.count(F.lit(1)).alias("times"), F.max("n_words").alias("n_words")), "holders")
-    pairs = staged(tried(docs, scanned, holders, rule), "tried")
-    n_pairs = pairs.count()
-    terms = pairs.select("term").distinct()
-    keys = pairs.select("key").distinct()
-    own = staged(holders.join(broadcast_if(keys, n_pairs, BROADCAST_ROWS), "key", "left_semi").select(*ROW, "key"), "own-keys")
+    each = scanned.select(*ROW, F.explode("entities.key").alias("key"))
+    holders = staged(each.groupBy(*ROW, "key").agg(F.count(F.lit(1)).alias("times")), "holders")
+    known = staged(carriers(scanned, holders, rule), "carriers")
+    n_known = known.count()
+    groups = known.groupBy("group").agg(F.max("carried").alias("carried"))  # the rarest entity is the one that most is told of
+    own = staged(holders.join(broadcast_if(known.select("key", "group"), n_known, BROADCAST_ROWS), "key").select(*ROW, "group").distinct(), "own-groups")
     held = staged(own.select(*ROW).distinct(), "held")
     keyed = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), "text")
     texts = keyed.join(broadcast_if(_other_row(held), held.count(), BROADCAST_ROWS), _same_row(), "left_semi").dropDuplicates(ROW)
-    found = places(texts).join(broadcast_if(terms, n_pairs, BROADCAST_ROWS), "term", "left_semi")
-    entities = _other_row(scanned.filter(F.size("entities") > 0).select(*ROW, "entities").dropDuplicates(ROW))
+    spans = F.transform("entities", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"))).alias("entities")
+    rows = scanned.filter(F.size("entities") > 0).select(*ROW, spans)
+    entities = _other_row(rows.groupBy(*ROW).agg(F.first("entities").alias("entities"), F.count(F.lit(1)).alias("copies")))  # equal for equal rows
     inside = F.exists("entities", lambda x: (x["start"] < F.col("end")) & (x["end"] > F.col("start")))
-    found = staged(found.join(entities, _same_row()).filter(~inside).select(*ROW, "term", "start", "end"), "places")
-    counts = _other_row(found.groupBy(*ROW, "term").agg(F.count(F.lit(1)).alias("n")))
-    n_te = own.join(counts, _same_row()).select("key", "term", "n").join(broadcast_if(pairs, n_pairs, BROADCAST_ROWS), ["key", "term"])
-    n_te = n_te.groupBy("key", "term").agg(F.sum("n").alias("n_te"), F.first("n_t").alias("n_t"), F.first("carried").alias("carried"))
+    found = staged(places(texts).join(entities, _same_row()).filter(~inside).select(*ROW, "term", "start", "end", "copies"), "places")
+    pairs = staged(tried(scanned, own, found, rule), "tried")
+    n_t = occurrences(docs, staged(pairs.select("term").distinct(), "terms"))
     seen = F.least(F.col("n_te") / F.greatest("n_t", "n_te"), F.lit(1.0))
-    passed = staged(n_te.select("key", "term", (1 + F.log(seen) / F.col("carried")).alias("disclosed")).filter(F.col("disclosed") >= rule.generalise), "disclosures")
-    known = own.join(broadcast_if(passed, passed.count(), BROADCAST_ROWS), "key").groupBy(*ROW, "term").agg(F.max("disclosed").alias("disclosed"))
+    told = pairs.join(n_t, "term").join(broadcast_if(groups, n_known, BROADCAST_ROWS), "group").withColumn("disclosed", 1 + F.log(seen) / F.col("carried"))
+    passed = staged(told.filter(F.col("disclosed") >= rule.generalise).select("group", "term", "disclosed"), "disclosures")
+    marked = own.join(broadcast_if(passed, passed.count(), BROADCAST_ROWS), "group").groupBy(*ROW, "term").agg(F.max("disclosed").alias("disclosed"))
     same = _same_row() & (F.col("term") == F.col("t"))
-    return found.join(_other_row(known.withColumnRenamed("term", "t")), same).select(*ROW, "start", "end", "disclosed")
+    return found.join(_other_row(marked.withColumnRenamed("term", "t")), same).select(*ROW, "start", "end", "disclosed")
 
 
 def find(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:

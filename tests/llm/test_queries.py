@@ -315,6 +315,36 @@ def test_op7(spark, tables, tmp_path):
     assert got == counted(want) and sum(bool(x) for x in terms) >= 6
 
 
+def term_spans(spark, rows, rule):
+    out = privacy.find(spark.createDataFrame(rows, "doc_id long, text string"), rule).collect()
+    return counted((r.doc_id, tuple((s.kind, s.start, s.end) for s in r.spans if s.kind == "term")) for r in out)
+
+
+@pytest.mark.parametrize("reach", [math.inf, 48])
+def test_op7_terms_far_from_their_entity(spark, reach):
+    """Of one e-mail at the start and two entities side by side, terms at the end of a long text; one row four times."""
+    rng = random.Random(43)
+    words = "we met and talked about the house on the hill that day".split()
+    plain = [" ".join(rng.choices(words, k=60)) for _ in range(60)]
+    known = [f"Ibis wrote from ann@x.org and 10.0.0.{i}. {plain[i]} kingfisher. {plain[i + 3]}" for i in range(3)]
+    rows = [*enumerate([*plain, *known]), *[(62, known[2])] * 3]
+    rule = privacy.Disclosure(reach=reach)
+    want = counted((i, tuple(own)) for (i, _), own in zip(rows, plain_terms(rows, rule)))
+    assert term_spans(spark, rows, rule) == want
+    far = known[0].index("kingfisher")
+    marked = [spans for (i, spans) in want if i == 60]
+    assert [("term", far, far + 10) in spans for spans in marked] == [math.isinf(reach)] and marked[0][0] == ("term", 0, 4)
+
+
+def test_op7_terms_beyond_the_next_entity_of_the_kind(spark):
+    """A term is tried against each entity of its documents, also against one behind another of the same kind."""
+    rows = [(i, "the usual words of the day " * 8) for i in range(40)]
+    rows += [(100 + i, f"from ann@x.org to {i}@y.org by kingfisher of the day") for i in range(3)]
+    got = term_spans(spark, rows, privacy.Disclosure())
+    at = rows[-1][1].index("kingfisher")
+    assert all(("term", at, at + 10) in spans for (i, spans) in got if i >= 100) and all(not spans for (i, spans) in got if i < 100)
+
+
 def test_op7_keeps_clashing_columns(spark):
     df = spark.createDataFrame([row(1, "mail bob@x.org"), row(1, None), row(None, "x")], SCHEMA)
     out = privacy.sanitise(df)
