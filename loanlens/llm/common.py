@@ -16,8 +16,6 @@ __all__ = ["discard", "fresh", "new_path", "scratch", "shared_dir", "staged"]
 #: Words of the phrase operators: runs of ASCII digits, ASCII lower-case letters and all characters above ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words in a text whose A-Z have not been lower-cased yet.
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

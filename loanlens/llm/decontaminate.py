@@ -1,6 +1,7 @@
 """Benchmark decontamination over a distributed positional inverted index (DataFrame functions only).
 
-build_index stores a posting (term_id, row, pos) for every document word that any test item uses. A test window is looked
+build_index stores a posting (term_id, row, pos) for every document word that any test item uses, and one for the end of each
+document, whose position is its number of words: the texts are read once. A test window is looked
 up from its rarest term: the offset-adjusted posting list of that term is intersected with the second rarest, and the
 survivors with all the remaining terms, so common terms are only met in documents that two rare ones already agree on.
 
@@ -18,11 +19,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_ANY_CASE, broadcast_if, scratch, staged, text_hash, words_of
+from .common import broadcast_if, scratch, staged, text_hash, words_of
 
 #: Sides of more counted rows are shuffled instead of broadcast.
 BROADCAST_ROWS = 1_000_000
 ROW = ["doc_id", "text_hash"]
+#: The term of the posting behind the last word of a document; no word is empty and no term of a test has this id.
+END, END_ID = "", -1
 
 
 @dataclass
@@ -79,15 +82,20 @@ def build_tests(items: DataFrame, window: int = 10) -> TestSet:
 
 
 def build_index(docs: DataFrame, tests: TestSet) -> Index:
-    """Postings of all test terms over the whole corpus, with each term's number of postings."""
-    tokens = rows_of(docs).select(*ROW, F.posexplode("words").alias("pos", "term"))
-    postings = staged(
-        tokens.join(broadcast_if(tests.vocabulary, tests.n_vocabulary, BROADCAST_ROWS), "term").select("term_id", *ROW, "pos"), "postings"
-    )
-    frequencies = staged(postings.groupBy("term_id").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    """Postings of all test terms over the whole corpus and of the end of each row, with each test term's number of postings."""
+    tokens = rows_of(docs).select(*ROW, F.posexplode(F.concat("words", F.array(F.lit(END)))).alias("pos", "term"))
+    end = tests.vocabulary.sparkSession.range(1).select(F.lit(END).alias("term"), F.lit(END_ID).cast("long").alias("term_id"))
+    terms = tests.vocabulary.select("term", "term_id").unionByName(end)
+    postings = staged(tokens.join(broadcast_if(terms, tests.n_vocabulary, BROADCAST_ROWS), "term").select("term_id", *ROW, "pos"), "postings")
+    frequencies = staged(postings.filter(F.col("term_id") != END_ID).groupBy("term_id").agg(F.count(F.lit(1)).alias("df")), "frequencies")
     return Index(postings, frequencies)
 
 
+def lengths(index: Index) -> DataFrame:
+    """(doc_id, text_hash, n_words), a row per row of the documents."""
+    return index.postings.filter(F.col("term_id") == END_ID).select(*ROW, F.col("pos").cast("long").alias("n_words"))
+
+
 def with_rarity(tests: TestSet, index: Index) -> DataFrame:
     """tests.terms with df; at most a row per term is broadcast, so no term's windows meet in one task."""
     return tests.terms.join(broadcast_if(index.frequencies, tests.n_vocabulary, BROADCAST_ROWS), "term_id", "left")
@@ -217,10 +225,9 @@ def _hits(matches: DataFrame) -> DataFrame:
     return spans.withColumn("new", new).groupBy(*ROW).agg(F.sum("new").cast("long").alias("n_hit"))
 
 
-def _with_found(docs: DataFrame, found: list[DataFrame]) -> DataFrame:
-    """doc_id, n_words, n_hit and the item lists, a row per row of docs."""
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_ANY_CASE)).cast("long")
-    out = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), n_words.alias("n_words"))
+def _with_found(rows: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """doc_id, n_words, n_hit and the item lists, a row per row of rows (see lengths)."""
+    out = rows
     for table in found:
         out = out.join(other_row(table), same_row(), "left").drop("__doc_id", "__text_hash")
     for name in out.columns:
@@ -240,8 +247,10 @@ def decontaminate_loosely(docs: DataFrame, items: DataFrame, window: int = 10, t
         exact = staged(phrase_matches(tests, index), "matches")
         near = near_matches(docs, tests).select("win_id", *ROW).unionByName(exact.select("win_id", *ROW))
         lists = ((exact, "items"), (proximity_matches(tests, index, terms, slop), "proximity_items"), (near, "near_items"))
-        kept += [staged(_hits(exact), "hits"), *(staged(_items(matches, tests, name), name) for matches, name in lists)]
-    return _with_found(docs, kept).withColumn("near", F.size("near_items") > 0)
+        found = [staged(_hits(exact), "hits"), *(staged(_items(matches, tests, name), name) for matches, name in lists)]
+        rows = staged(lengths(index), "lengths")
+        kept += [rows, *found]
+    return _with_found(rows, found).withColumn("near", F.size("near_items") > 0)
 
 
 def near_documents(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
@@ -258,7 +267,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     """A row per row of docs: doc_id, n_words, n_hit, items (sorted array of item ids as strings), contaminated."""
     with scratch() as kept:
         tests = build_tests(items, window)
-        matches = staged(phrase_matches(tests, build_index(docs, tests)), "matches")
+        index = build_index(docs, tests)
+        matches = staged(phrase_matches(tests, index), "matches")
         found = _hits(matches).join(other_row(_items(matches, tests, "items")), same_row(), "left").drop("__doc_id", "__text_hash")
-        kept.append(staged(found, "hits"))
-    return _with_found(docs, kept)
+        hits, rows = staged(found, "hits"), staged(lengths(index), "lengths")
+        kept += [hits, rows]
+    return _with_found(rows, [hits])

@@ -112,6 +112,14 @@ def test_op2_by_row(spark, tables, partitions):
     assert counted(map(tuple, rows)) == counted(want)
 
 
+def test_op2_reads_the_texts_once(spark, tables):
+    """What is returned comes from the index, rows without words and without id included."""
+    out = queries.op2_decontaminate(spark, f"{tables[0]}/some")
+    assert out.inputFiles() and not any("documents.parquet" in f for f in out.inputFiles())
+    n_words = lambda t: len(re.findall(WORD, lower(t or "")))
+    assert counted((r.doc_id, r.n_words) for r in out.collect()) == counted((i, n_words(t)) for i, t, _ in tables[1])
+
+
 def plain_bins(text):
     letters = re.sub(r"[\W\d_]+", " ", text.lower())
     letters = "".join(c if c.isalpha() else " " for c in letters)
