@@ -353,6 +353,20 @@ def test_op7_terms_beyond_the_next_entity_of_the_kind(spark):
     assert all(("term", at, at + 10) in spans for (i, spans) in got if i >= 100) and all(not spans for (i, spans) in got if i < 100)
 
 
+def test_counts_of_shingles_reach_the_driver_in_blocks(spark):
+    rng = random.Random(47)
+    texts = [" ".join(rng.choices("we met and".split(), k=12)) for _ in range(800)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    want = np.zeros(2 << copies.BINS, dtype=np.int64)
+    for r in docs.filter(F.pmod(F.xxhash64("text"), F.lit(copies.LEAST_SHARE)) == 0).collect():
+        for bins in copies._bins(copies.hashed(r.text)):
+            np.add.at(want, bins, 1)
+    want[want == 1] = 0
+    rows = copies.counted_blocks(docs).collect()
+    assert len({r.block for r in rows}) == len(rows) <= (2 << copies.BINS) // copies.BLOCK and all(len(r.counts) == 2 * copies.BLOCK for r in rows)
+    assert want.max() > 2 and np.array_equal(copies.rarity(docs), want)
+
+
 def test_op7_keeps_clashing_columns(spark):
     df = spark.createDataFrame([row(1, "mail bob@x.org"), row(1, None), row(None, "x")], SCHEMA)
     out = privacy.sanitise(df)
