@@ -69,6 +69,27 @@ def test_copies_of_funds_in_classes(spark, monkeypatch):
             assert classes.count() == len({(yr, k) for yr, k, _ in kinds}) + 2 and O.class_pairs([sets], classes, True).count() < len(want) / 20
 
 
+def test_values_of_pairs_are_rounded_before_funds_are_expanded(spark, monkeypatch):
+    """A value that is the same for all funds of two classes is computed and rounded once, and many funds are many tasks."""
+    rows = [(1, 10 * c + k, f"e{x}", 1.0 + x + k % 2) for k in range(8) for c in range(10) for x in range(k, k + 6)]
+    sets = O.fund_sets(spark.createDataFrame(rows, "yr int, fund int, element string, weight double")).cache()
+    key = lambda df: {(r.yr, r.a, r.b): r for r in df.collect()}
+    plain, fine = key(O.fund_pairs(sets)), key(O.grain_pairs(sets, sets))
+    for funds in (5000, 20):
+        monkeypatch.setattr(O, "EXPANDED", funds)
+        pairs, both = O.fund_pairs(sets, 5), O.grain_pairs(sets, sets, 5)
+        for df, want in ((pairs, plain), (both, fine)):
+            above = df._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[0]
+            assert "Generate" not in above and "round(" not in above
+            got = key(df)
+            assert got.keys() == want.keys() and got
+            for k, r in got.items():
+                assert r.asDict() == {c: pytest.approx(v, abs=6e-6) for c, v in want[k].asDict().items()}
+                assert all(round(v, 5) == v for v in r)
+        dealt, _ = O._dealt([sets], O.fund_classes([sets], True), True, funds)
+        assert dealt.select("yr", "part").distinct().count() == {5000: 1, 20: 10}[funds]
+
+
 def test_line_items_are_not_shuffled_to_meet_few_parts(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
