@@ -90,6 +90,25 @@ def test_values_of_pairs_are_rounded_before_funds_are_expanded(spark, monkeypatc
         assert dealt.select("yr", "part").distinct().count() == {5000: 1, 20: 10}[funds]
 
 
+def test_different_funds_are_neither_looked_up_nor_counted_one_by_one(spark, monkeypatch):
+    """Frequent elements are counted by products of matrices, funds unlike all others are not looked up, ratios are rounded exactly."""
+    rng = random.Random(8)
+    rows = [(1, f, f"e{e}", 1.0) for f in range(40) for e in {*rng.sample(range(30), rng.randint(6, 20)), 100 + f}]
+    sets = O.fund_sets(spark.createDataFrame(rows, "yr int, fund int, element string, weight double")).cache()
+    seen = []
+    for dense in (0, 5, 10**9):
+        monkeypatch.setattr(O, "DENSE", dense)
+        monkeypatch.setattr(O, "COLUMNS", 3)
+        pairs = O.grain_pairs(sets, sets, 5)
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan.split("FlatMapGroups")[0] and "Generate" not in plan.split("FlatMapGroups")[0]
+        seen.append({tuple(r) for r in pairs.collect()})
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 700
+    ratios = spark.createDataFrame([(s, u) for u in (1, 3, 7, 64, 320, 960, 1600) for s in range(u + 1)], "s bigint, u bigint")
+    got = ratios.select(O._jaccard("s", "u", "s", 5).alias("exact"), F.round(F.col("s") / F.col("u"), 5).alias("rounded")).collect()
+    assert all(r.exact == r.rounded for r in got)
+
+
 def test_line_items_are_not_shuffled_to_meet_few_parts(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
